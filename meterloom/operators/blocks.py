@@ -75,6 +75,23 @@ def hourly_points(requests: DataFrame, limits: DataFrame, book=PRICE_BOOK) -> Da
     )
 
 
+def compact_points(requests: DataFrame, limits: DataFrame, now: datetime, recent_hours: int = 12) -> DataFrame:
+    """Points for a client that rebuilds blocks itself: old hours without a limit hit are one row per model,
+    recent hours and hours holding a hit stay one row per request. Totals per hour are unchanged."""
+    cut = (now - timedelta(hours=recent_hours)).replace(minute=0, second=0, microsecond=0)
+    points = requests.select(
+        WS, "ts", hour_of(F.col("ts")).alias("hour"), "model", F.col("value_usd").alias("value")
+    )
+    hit_hours = limits.select(WS, hour_of(F.col("ts")).alias("hour")).distinct()
+    recent = F.col("ts") >= as_ts(cut)
+    quiet = points.filter(~recent).join(hit_hours, [WS, "hour"], "left_anti")
+    summed = quiet.groupBy(WS, "hour", "model").agg(
+        hour_start(F.col("hour")).alias("ts"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")
+    )
+    exact = points.filter(recent).unionByName(points.filter(~recent).join(hit_hours, [WS, "hour"], "left_semi").select(*points.columns))
+    return summed.unionByName(exact.withColumn("n", F.lit(1).cast("long")))
+
+
 _POINT = (
     "hour", "requests", "value", "opus_value", "value_to_limit", "first_ts", "last_ts", "limits", "block_limits",
     "first_limit_ts", "last_limit",

@@ -537,11 +537,12 @@ def joi_machine_names(t: Tables) -> DataFrame:
 
 @query(
     "joi_idle_anti",
-    f"""select d.workspace_id, d.id, d.name from devices d where d.revoked_at is null and not exists (
-  select 1 from requests q where q.workspace_id = d.workspace_id and q.device_id = d.id and {_WEEK})""",
+    """select d.workspace_id, d.id, d.name from devices d where d.revoked_at is null and not exists (
+  select 1 from requests q where q.workspace_id = d.workspace_id and q.device_id = d.id
+    and q.ts >= timestamp '2024-01-30 22:00:00' and q.ts < timestamp '2024-01-31')""",
 )
 def joi_idle_anti(t: Tables) -> DataFrame:
-    return machines.idle_machines(t.requests, t.devices, WEEK, NOW).select("workspace_id", "id", "name")
+    return machines.idle_machines(t.requests, t.devices, NOW - timedelta(hours=2), NOW).select("workspace_id", "id", "name")
 
 
 @query(
