@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import session_queries, usage_queries  # noqa: F401
+from . import ingest_queries, session_queries, usage_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, oracle_text, spark_query
 
 
