@@ -417,8 +417,8 @@ def totals_delta(requests, workspaces, start, end, prev_start, prev_end, book=PR
 
 def upload_report(usage: DataFrame, book=PRICE_BOOK) -> DataFrame:
     """Per-model table with a total row, as printed after a collection pass."""
-    priced = with_prices(usage.drop("label", "family"), book)
-    return priced.rollup(model_label().alias("model_label")).agg(
+    priced = with_prices(usage, book).withColumn("model_label", model_label())
+    return priced.rollup("model_label").agg(
         F.grouping("model_label").cast("int").alias("is_total"),
         F.count(F.lit(1)).alias("requests"),
         F.sum("input").alias("input"),

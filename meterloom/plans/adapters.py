@@ -208,7 +208,7 @@ select concat('ws_', user_id % 8) as workspace_id, concat('s_', user_id) as sess
 from events""",
     "login_passes": """
 select concat('root_', c_custkey % 6) as root, [TS] '2024-01-01 00:00:00' + c_custkey * interval '97 minutes' as pass_at,
-  case when c_custkey % 13 = 5 then null else concat('acct_', floor(c_custkey / 40)) end as account_hash,
+  case when c_custkey % 13 = 5 then null else concat('acct_', cast(floor(c_custkey / 40) as bigint)) end as account_hash,
   c_custkey % 17 = 4 as caught_switch
 from customer where c_custkey < 500""",
     "landed_lines": """

@@ -273,7 +273,7 @@ _SALTED = f"case workspace_id {' '.join(f'''when 'ws_{i}' then ''' + hmac_sql(f'
 
 @query(
     "pse_hashes",
-    f"""select request_id, {_SALTED} as account_hash, concat('h:', substring({hmac_sql('demo-salt', "concat('project:', project)")}, 1, 12))
+    f"""select request_id, {_SALTED} as account_hash, ('h:' || substring({hmac_sql('demo-salt', "'project:' || project")}, 1, 12))
   as project_hash, sha256('account-email:' || lower(trim(concat('  User', request_id, '@Example.com ')))) as email_proof
 from (select *, concat('account:', coalesce(device_id, 'none')) as m from requests)""",
 )
@@ -514,15 +514,31 @@ def mrg_counts(t: Tables) -> DataFrame:
     return merge.merge_counts(t.deliveries, ["batch_id"])
 
 
+cte(
+    "half_marks",
+    f"""select *, source = 'transcript' and (nt = 0 or output > coalesce(po, 0) or coalesce(thinking, 0) > coalesce(pt, 0)) as wins
+from (select *, max(output) {_PRIOR} as po, max(case when source = 'transcript' then coalesce(thinking, 0) end) {_PRIOR} as pt,
+  coalesce(sum(case when source = 'transcript' then 1 else 0 end) {_PRIOR}, 0) as nt
+  from raw_deliveries where ts < timestamp '2024-01-15')""",
+)
+cte(
+    "half_rows",
+    """select workspace_id, request_id, max(output) as output, max(case when wins then thinking end) as thinking,
+  bool_or(source = 'transcript') as from_t from half_marks group by 1, 2""",
+)
+
+
 @query(
     "mrg_drop_known",
-    """select i.workspace_id, i.request_id, i.seq from raw_deliveries i left join priced_merged s using (workspace_id, request_id)
-where i.source = 'transcript' and (s.request_id is null or not (s.sources <> 'otel' and i.output <= s.output
-  and coalesce(i.thinking, 0) <= coalesce(s.thinking, 0)))""",
+    """select i.workspace_id, i.request_id, i.seq from raw_deliveries i left join half_rows s using (workspace_id, request_id)
+where i.source = 'transcript' and i.ts >= timestamp '2024-01-15' and (s.request_id is null or not (s.from_t
+  and i.output <= s.output and coalesce(i.thinking, 0) <= coalesce(s.thinking, 0)))""",
 )
 def mrg_drop_known(t: Tables) -> DataFrame:
-    incoming = t.deliveries.filter(F.col("source") == "transcript")
-    return merge.drop_known(incoming, merge.merge_deliveries(t.deliveries)).select(WS, "request_id", "seq")
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    current = merge.merge_deliveries(t.deliveries.filter(early))
+    incoming = t.deliveries.filter(~early & (F.col("source") == "transcript"))
+    return merge.drop_known(incoming, current).select(WS, "request_id", "seq")
 
 
 cte(
@@ -836,7 +852,9 @@ def str_dedup(t: Tables) -> DataFrame:
   max(cast(json_extract(props, '$.k') as bigint)) as output from events group by 1, 2""",
 )
 def str_max_output(t: Tables) -> DataFrame:
-    sent = run_to_table(t, dedup.growing_outputs(event_stream(t)), "outputs")
+    folder = shared_dir(t.spark, "outputs")
+    dedup.send_growing(event_stream(t), f"{folder}/sent", f"{folder}/checkpoint").awaitTermination()
+    sent = t.spark.read.parquet(f"{folder}/sent")
     return sent.groupBy(WS, "request_id").agg(F.max("output").alias("output"))
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.parse import not_yet_sent
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+KEYS = ["workspace_id", "request_id"]
 
 
 def first_events(stream: DataFrame, delay: str = "3 days", key: str = "id") -> DataFrame:
@@ -18,38 +16,40 @@ def first_events(stream: DataFrame, delay: str = "3 days", key: str = "id") -> D
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["workspace_id", key])
 
 
-class _LargestOutput(StatefulProcessor):
-    """Passes a request on only when its output grew."""
-
-    def __init__(self, ttl_ms: int):
-        self._ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("output", T.LongType())])
-        self._best = handle.getValueState("best", schema, ttlDurationMs=self._ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # Rows arrive in Arrow chunks; only a running maximum is kept, however many copies there are.
-        best = None
-        for chunk in rows:
-            top = int(chunk["output"].max())
-            best = top if best is None else max(best, top)
-        sent = self._best.get()[0] if self._best.exists() else None
-        if best is not None and (sent is None or best > sent):
-            self._best.update((best,))
-            yield pd.DataFrame({"workspace_id": [key[0]], "request_id": [key[1]], "output": [best]})
-
-    def close(self) -> None:
-        pass
-
-
-def growing_outputs(stream: DataFrame, ttl_days: int = 3) -> DataFrame:
-    """Requests whose output is larger than anything passed on before; memory lasts ``ttl_days``."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = stream.select("workspace_id", "request_id", F.col("output").cast("long").alias("output"))
-    return rows.groupBy("workspace_id", "request_id").transformWithStateInPandas(
-        statefulProcessor=_LargestOutput(ttl_days * 86_400_000),
-        outputStructType="workspace_id string, request_id string, output long",
-        outputMode="Append",
-        timeMode="ProcessingTime",
-    )
+def grown(batch: DataFrame, sent: DataFrame) -> DataFrame:
+    """Largest output per request in a batch, where it exceeds what was sent before.
+
+    The maximum is partially aggregated before it shuffles, so a request repeated without end costs one row
+    per task.
+    """
+    best = batch.groupBy(*KEYS).agg(F.max("output").alias("output"), F.max(F.to_date("ts")).alias("day"))
+    return not_yet_sent(best, sent, KEYS)
+
+
+def send_growing(
+    stream: DataFrame, folder: str, checkpoint: str, ttl_days: int = 3, trigger: dict | None = None
+) -> StreamingQuery:
+    """Pass requests on only when their output grew; memory of what was sent lasts ``ttl_days``.
+
+    What was sent is a table by day and batch. A batch reads the days still remembered, without its own
+    earlier attempt, and writes its own folder, so a replay gives the same rows.
+    """
+    schema = "workspace_id string, request_id string, output bigint, batch bigint, day date"
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = batch.agg(F.max(F.to_date("ts"))).first()[0]
+        if newest is None:
+            return
+        sent = spark.createDataFrame([], schema)
+        if batch_id > 0:
+            sent = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(folder).filter(
+                (F.col("day") >= F.date_sub(F.lit(newest), ttl_days)) & (F.col("batch") < batch_id)
+            )
+        rows = grown(batch, sent.select(*KEYS, "output")).withColumn("batch", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(
+            folder
+        )
+
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
