@@ -38,72 +38,84 @@ def kind(x: Column) -> Column:
     return F.schema_of_variant(x)
 
 
+def is_object(v: Column, path: str) -> Column:
+    """Whether the value is an object. Casting to a struct looks at field names only, while asking for the
+    schema of a large value would walk all of it."""
+    return F.try_variant_get(v, path, "struct<_:variant>").isNotNull()
+
+
 def obj(v: Column, path: str) -> Column:
     """Sub-object at ``path``, null when it is anything but an object."""
-    x = raw(v, path)
-    return F.when(kind(x).startswith("OBJECT"), x)
+    return F.when(is_object(v, path), raw(v, path))
 
 
 def text(v: Column, path: str, size: int = 200) -> Column:
     """Non-empty JSON string, cut to ``size``; other JSON types are null."""
-    x = raw(v, path)
-    return F.when(kind(x) == "STRING", F.nullif(F.substring(F.try_variant_get(v, path, "string"), 1, size), F.lit("")))
+    x = F.when(kind(raw(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
+    return F.nullif(F.substring(x, 1, size), F.lit(""))
+
+
+def string(v: Column, path: str) -> Column:
+    """JSON string as it is (possibly empty); other JSON types are null."""
+    return F.when(kind(raw(v, path)) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def _number(v: Column, path: str) -> Column:
-    """JSON number as double; numeric strings, booleans and infinities are null."""
-    x = raw(v, path)
-    d = F.when(kind(x).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, path, "double"))
-    return F.when(F.abs(d) < float("inf"), d)
+def _number(v: Column, path: str, as_type: str) -> Column:
+    """JSON number; numeric strings, booleans and numbers out of range are null."""
+    is_number = F.substring(kind(raw(v, path)), 1, 3).isin("BIG", "DEC", "DOU")
+    return F.when(is_number, F.try_variant_get(v, path, as_type))
+
+
+def _whole(v: Column, path: str) -> Column:
+    return F.floor(_number(v, path, "decimal(20,2)")).cast("long")
 
 
 def count(v: Column, path: str) -> Column:
     """Positive number rounded down, else 0."""
-    d = _number(v, path)
-    return F.coalesce(F.when(d > 0, F.floor(d).cast("long")), F.lit(0).cast("long"))
+    return F.greatest(_whole(v, path), F.lit(0).cast("long"))
 
 
 def count_or_null(v: Column, path: str) -> Column:
     """Non-negative number rounded down, else null."""
-    d = _number(v, path)
-    return F.when(d >= 0, F.floor(d).cast("long"))
+    return F.nullif(F.greatest(_whole(v, path), F.when(raw(v, path).isNotNull(), F.lit(-1))), F.lit(-1).cast("long"))
 
 
 def amount(v: Column, path: str) -> Column:
-    d = _number(v, path)
-    return F.coalesce(F.when(d >= 0, d), F.lit(0.0))
+    return F.greatest(F.nullif(_number(v, path, "double"), F.lit(float("inf"))), F.lit(0.0))
 
 
 def flag(v: Column, path: str) -> Column:
-    x = raw(v, path)
-    return F.coalesce((kind(x) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
+    return F.coalesce((kind(raw(v, path)) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
 
 
 def instant(v: Column, path: str) -> Column:
     """ISO time at millisecond precision, or null."""
-    return F.date_trunc("MILLISECOND", F.try_to_timestamp(text(v, path, 100)))
+    return F.date_trunc("MILLISECOND", F.try_to_timestamp(string(v, path)))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Classify lines. Input: ``line`` plus any context columns; blank lines are dropped.
 
-    Adds ``v`` (the parsed object, null when malformed), ``type`` and ``cc_version``.
+    Adds ``v`` (the parsed object, null when malformed), ``type`` and ``cc_version``. The object comes out of
+    a generator, which filters cannot be pushed through: every line is parsed exactly once, whatever the
+    operators downstream test on it.
     """
+    context = [c for c in lines.columns if c != "line"]
     full = lines.filter(F.trim("line") != "")
-    parsed = full.withColumn("v", F.try_parse_json("line")).drop("line")
-    parsed = parsed.withColumn("v", F.when(kind(F.col("v")).startswith("OBJECT"), F.col("v")))
+    whole = full.select(*context, F.explode(F.array(F.try_parse_json("line"))).alias("v"))
     v = F.col("v")
-    plain = F.when(kind(raw(v, "$.type")) == "STRING", F.try_variant_get(v, "$.type", "string"))
-    return parsed.withColumn("type", F.when(v.isNotNull(), F.coalesce(plain, F.lit("(none)")))).withColumn(
-        "cc_version", text(v, "$.version", 50)
+    typed = whole.withColumn("v", obj(v, "$"))
+    return typed.select(
+        *context, "v",
+        F.when(v.isNotNull(), F.coalesce(string(v, "$.type"), F.lit("(none)"))).alias("type"),
+        text(v, "$.version", 50).alias("cc_version"),
     )
 
 
 def unknown_key() -> Column:
     """Counter name of a line the parser does not know, else null."""
     v = F.col("v")
-    subtype = F.when(kind(raw(v, "$.subtype")) == "STRING", F.try_variant_get(v, "$.subtype", "string"))
-    subtype = F.coalesce(subtype, F.lit("(none)"))
+    subtype = F.coalesce(string(v, "$.subtype"), F.lit("(none)"))
     known_system = subtype.isin("compact_boundary", "turn_duration", *IGNORED_SYSTEM)
     placed = text(v, "$.sessionId").isNotNull() & instant(v, "$.timestamp").isNotNull()
     return F.when(
@@ -151,13 +163,12 @@ def usage(parsed: DataFrame, project_salt: str | None = None) -> DataFrame:
     base = base.withColumn("request_id", text(v, "$.requestId")).filter(F.col("request_id").isNotNull())
     base = base.withColumn("u", obj(m, "$.usage")).withColumn("is_subagent", F.coalesce(
         _context(parsed, "file_is_subagent", False), F.lit(False)) | flag(v, "$.isSidechain"))
-    split = obj(u, "$.cache_creation").isNotNull()
+    split = is_object(u, "$.cache_creation")
     w5 = F.when(split, count(u, "$.cache_creation.ephemeral_5m_input_tokens")).otherwise(0)
     w1 = F.when(split, count(u, "$.cache_creation.ephemeral_1h_input_tokens")).otherwise(0)
     rest = F.greatest(count(u, "$.cache_creation_input_tokens") - (w5 + w1), F.lit(0))
     sub = F.col("is_subagent")
     agent = F.when(sub, _context(parsed, "file_agent_type", None).cast("string"))
-    cwd = F.when(kind(raw(v, "$.cwd")) == "STRING", F.try_variant_get(v, "$.cwd", "string"))
     return base.select(
         *context,
         "request_id",
@@ -183,18 +194,16 @@ def usage(parsed: DataFrame, project_salt: str | None = None) -> DataFrame:
         text(v, "$.attributionPlugin", 100).alias("plugin"),
         text(v, "$.entrypoint", 50).alias("entrypoint"),
         "cc_version",
-        project_name(cwd, project_salt).alias("project"),
+        project_name(string(v, "$.cwd"), project_salt).alias("project"),
         text(v, "$.gitBranch", 200).alias("git_branch"),
     )
 
 
 def message_text(m: Column) -> Column:
     """First text of a message (a string, or the first content part that has one), at most 500 characters."""
-    whole = F.when(kind(raw(m, "$.content")) == "STRING", F.try_variant_get(m, "$.content", "string"))
     parts = F.try_variant_get(m, "$.content", "array<variant>")
-    texts = F.transform(
-        parts, lambda b: F.when(kind(raw(b, "$.text")) == "STRING", F.try_variant_get(b, "$.text", "string"))
-    )
+    whole = F.when(parts.isNull(), string(m, "$.content"))
+    texts = F.transform(parts, lambda b: string(b, "$.text"))
     found = F.try_element_at(F.filter(texts, lambda t: t.isNotNull()), F.lit(1))
     return F.substring(F.coalesce(whole, found, F.lit("")), 1, 500)
 
@@ -211,7 +220,7 @@ def api_errors(parsed: DataFrame, line_key: str = LINE_KEY, zone: str = "UTC") -
     )
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     fallback = F.concat(iso, F.lit(":"), F.coalesce("code", F.lit("null")))
-    uuid = F.when(kind(raw(v, "$.uuid")) == "STRING", F.try_variant_get(v, "$.uuid", "string"))
+    uuid = string(v, "$.uuid")
     limit = is_limit(F.col("text"))
     return base.select(
         *context,
@@ -237,9 +246,9 @@ def snapshots(parsed: DataFrame, max_models: int = 50) -> DataFrame:
 
     models = F.try_variant_get(obj(v, "$.modelUsage"), "$", "map<string,variant>")
     pairs = F.slice(F.map_entries(models), 1, max_models)
-    kept = F.filter(pairs, lambda p: kind(p["value"]).startswith("OBJECT") & (F.length(p["key"]) <= 100))
+    kept = F.filter(pairs, lambda p: is_object(p["value"], "$") & (F.length(p["key"]) <= 100))
     usage_map = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["key"], entry(p["value"]))))
-    start = _number(v, "$.startTime")
+    start = _number(v, "$.startTime", "decimal(20,2)")
     return (
         parsed.filter(F.col("type") == "cost-state")
         .withColumn("session_id", text(v, "$.sessionId"))
@@ -298,10 +307,9 @@ def session_events(parsed: DataFrame, line_key: str = LINE_KEY) -> DataFrame:
     """Compactions and turn durations."""
     v = F.col("v")
     context = [c for c in parsed.columns if c not in ("v", "type", "cc_version")]
-    subtype = F.when(kind(raw(v, "$.subtype")) == "STRING", F.try_variant_get(v, "$.subtype", "string"))
     base = (
         parsed.filter(F.col("type") == "system")
-        .withColumn("subtype", subtype)
+        .withColumn("subtype", string(v, "$.subtype"))
         .filter(F.col("subtype").isin("compact_boundary", "turn_duration"))
         .withColumn("session_id", text(v, "$.sessionId"))
         .withColumn("ts", instant(v, "$.timestamp"))
@@ -310,7 +318,7 @@ def session_events(parsed: DataFrame, line_key: str = LINE_KEY) -> DataFrame:
     compact = F.col("subtype") == "compact_boundary"
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     fallback = F.concat(iso, F.when(compact, ":compact").otherwise(":turn"))
-    uuid = F.when(kind(raw(v, "$.uuid")) == "STRING", F.try_variant_get(v, "$.uuid", "string"))
+    uuid = string(v, "$.uuid")
     return base.select(
         *context,
         line_id(line_key, F.col("session_id"), uuid, fallback).alias("id"),

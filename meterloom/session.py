@@ -7,12 +7,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Needed for right results: wall-clock maths assumes UTC sessions, attribute maps keep the last value.
-RESULT_CONF = {
+# Needed on every session: wall-clock maths assumes UTC, attribute maps keep the last value.
+ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Wide projections (a parsed session line has some 30 columns) otherwise compile to methods the JVM only
+    # interprets; beyond this size Spark splits them instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Sensible cluster defaults, only applied to sessions we build ourselves.
@@ -29,7 +32,7 @@ TUNING_CONF = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on to an existing session."""
-    for key, value in RESULT_CONF.items():
+    for key, value in ENGINE_CONF.items():
         spark.conf.set(key, value)
     return spark
 
@@ -38,7 +41,7 @@ def build_session(app: str = "meterloom", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RESULT_CONF, **TUNING_CONF, **conf}.items():
+    for key, value in {**ENGINE_CONF, **TUNING_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

@@ -25,27 +25,32 @@ def file_context(path: Column) -> list[Column]:
 
 
 def line_columns() -> list[Column]:
-    """Line text with its file context and a position that grows along the file."""
-    path = F.col("_metadata.file_path")
-    position = F.struct(
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-    )
+    """Line text with its file context."""
     return [
         F.col("value").alias("line"),
-        *file_context(path),
+        *file_context(F.col("_metadata.file_path")),
         F.col("_metadata.file_modification_time").alias("landed_at"),
-        position.alias("seq"),
+        F.col("_metadata.file_block_start").alias("block"),
     ]
 
 
+def with_position(lines: DataFrame) -> DataFrame:
+    """Replace ``block`` by ``seq``, a position that grows along each file."""
+    row = F.monotonically_increasing_id()
+    return lines.withColumn("seq", F.struct(F.col("block"), row.alias("row"))).drop("block")
+
+
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of all session files below ``root`` (a glob may name many roots)."""
     paths = [f"{root.rstrip('/')}/{g}" for g in GLOBS]
-    return spark.read.text(paths).select(*line_columns())
+    return with_position(spark.read.text(paths).select(*line_columns()))
 
 
 def stream_lines(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Streaming form over landed, immutable files; the checkpoint remembers which files were read."""
+    """Streaming form over landed, immutable files; the checkpoint remembers which files were read.
+
+    Apply ``with_position`` to each micro-batch: row positions exist only within one.
+    """
     reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true")
     lines = reader.option("pathGlobFilter", "*.jsonl").text(root)
     return lines.select(*line_columns()).filter(F.col("root") != "")

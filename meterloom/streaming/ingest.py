@@ -12,7 +12,7 @@ from ..operators import otlp, parse
 from ..operators.merge import REQUEST, as_deliveries
 from ..operators.validate import split_records
 from ..sources.tables import upsert_request_table
-from ..sources.transcripts import stream_lines
+from ..sources.transcripts import stream_lines, with_position
 
 
 def usage_deliveries(parsed: DataFrame, batch_id: int, project_salt: str | None = None) -> DataFrame:
@@ -33,8 +33,8 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def _write_parsed(batch: DataFrame, batch_id: int, folder: str, workspace_of, project_salt: str | None) -> DataFrame:
-    lines = workspace_of(batch)
-    parsed = parse.parse_lines(lines)
+    # Five record kinds come out of one parse; a lost executor only re-parses its part.
+    parsed = parse.parse_lines(workspace_of(with_position(batch))).persist()
     deliveries = usage_deliveries(parsed, batch_id, project_salt)
     write_batch(deliveries, f"{folder}/deliveries", batch_id)
     write_batch(parse.api_errors(parsed).drop("seq"), f"{folder}/problems", batch_id)
@@ -43,6 +43,7 @@ def _write_parsed(batch: DataFrame, batch_id: int, folder: str, workspace_of, pr
     write_batch(parse.meta_lines(parsed), f"{folder}/meta", batch_id)
     counts = parse.unknown_counts(parsed, ["workspace_id"])
     write_batch(counts, f"{folder}/unknown_types", batch_id)
+    parsed.unpersist()
     return batch.sparkSession.read.parquet(f"{folder}/deliveries/batch={batch_id}")
 
 
