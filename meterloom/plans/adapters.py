@@ -240,7 +240,15 @@ class Tables:
     def source(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+        if naive:
+            df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+        return self._spread(df) if name == "events" else df
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """A small file is one split; deal its rows out so the derived tables use every core. Inputs with
+        enough splits are left alone."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
     def view(self, name: str) -> DataFrame:
         sql = _fill(VIEWS[name], "spark")
