@@ -242,7 +242,7 @@ class Tables:
         naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
         if naive:
             df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
-        return self._spread(df) if name == "events" else df
+        return self._spread(df) if name in ("events", "orders") else df
 
     def _spread(self, df: DataFrame) -> DataFrame:
         """A small file is one split; deal its rows out so the derived tables use every core. Inputs with
