@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import email_proof
-from .rollups import WS
+from .rollups import WS, top_n
 
 EMAIL_PREFIX = "account-email:"
 
@@ -100,28 +100,26 @@ def recently_refused(now: Column, days: int = 7) -> Column:
 
 
 def heartbeat(uploads: DataFrame, devices: DataFrame) -> DataFrame:
-    """Device state after uploads: last seen, parser version, OS, and the last ten versions by name.
-
-    Versions are few per device, so their set stays small.
-    """
+    """Device state after uploads: last seen, parser version, OS, and the last ten versions by name."""
     seen = uploads.groupBy(F.col("device_id").alias("id")).agg(
         F.max("ts").alias("_seen"),
         F.max_by("parser_version", F.when(F.col("parser_version").isNotNull(), F.struct("ts", "upload_id"))).alias("_p"),
         F.max_by("os", F.when(F.col("os").isNotNull(), F.struct("ts", "upload_id"))).alias("_os"),
     )
-    versions = (
+    named = (
         uploads.select(F.col("device_id").alias("id"), F.explode("cc_versions").alias("v"))
         .union(devices.select("id", F.explode("cc_versions").alias("v")))
-        .groupBy("id")
-        .agg(F.collect_set("v").alias("_v"))
+        .distinct()
+    )
+    versions = top_n(named, [F.desc("v")], 10, ("id",)).groupBy("id").agg(
+        F.array_sort(F.collect_list("v")).alias("_last_ten")
     )
-    last_ten = F.reverse(F.slice(F.sort_array("_v", asc=False), 1, 10))
     return devices.join(seen, "id", "left").join(versions, "id", "left").select(
         "id", WS,
         F.coalesce("_seen", "last_seen_at").alias("last_seen_at"),
         F.coalesce("_p", "parser_version").alias("parser_version"),
         F.coalesce("_os", "os").alias("os"),
-        F.when(F.col("_seen").isNotNull(), F.coalesce(last_ten, F.array().cast("array<string>")))
+        F.when(F.col("_seen").isNotNull(), F.coalesce("_last_ten", F.array().cast("array<string>")))
         .otherwise(F.col("cc_versions"))
         .alias("cc_versions"),
     )

@@ -42,9 +42,9 @@ def devices_with_stats(devices: DataFrame, requests: DataFrame, now: datetime) -
     )
 
 
-def device_order() -> list[Column]:
-    """Live machines first, then by last upload, never-seen last."""
-    return [F.asc_nulls_first("revoked_at"), F.desc_nulls_last("last_seen_at"), F.asc("id")]
+def in_device_order(devices: DataFrame) -> DataFrame:
+    """Live machines first, then by last upload, never-seen last (a distributed range sort)."""
+    return devices.orderBy(WS, F.asc_nulls_first("revoked_at"), F.desc_nulls_last("last_seen_at"), F.asc("id"))
 
 
 def machine_usage(requests: DataFrame, devices: DataFrame, start, end) -> DataFrame:

@@ -238,7 +238,9 @@ def error_headline(errors, start, end) -> DataFrame:
 
 
 def limit_hits(limits, start, end) -> DataFrame:
-    return limits.filter(in_range(start, end)).select(WS, "id", "ts", "limit_kind", "source")
+    """Limit hits, newest first within a workspace (a distributed range sort)."""
+    hits = limits.filter(in_range(start, end)).select(WS, "id", "ts", "limit_kind", "source")
+    return hits.orderBy(WS, F.desc("ts"), "id")
 
 
 def data_quality(requests, ingest_log, now: datetime, days: int = 30) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running_totals
@@ -190,6 +189,5 @@ def snapshot_difference(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def request_list(requests: DataFrame) -> DataFrame:
-    """Requests of each session in reading order (ts, then id)."""
-    order = W.partitionBy(*SESSION).orderBy("ts", "request_id")
-    return requests.withColumn("position", F.row_number().over(order))
+    """Requests with their position in the session (by ts, then id)."""
+    return running_totals(requests, SESSION, "ts", ["request_id"], {"position": F.lit(1)})

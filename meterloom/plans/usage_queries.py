@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pricing, ranges
@@ -475,14 +474,10 @@ def top_projects(t: Tables) -> DataFrame:
 
 @query(
     "top_limit_hits",
-    f"""select workspace_id, id, ts, limit_kind, source, row_number() over (partition by workspace_id order by ts desc, id)::int
-  as position from limit_events where {_IN}""",
+    f"select workspace_id, id, ts, limit_kind, source from limit_events where {_IN}",
 )
 def top_limit_hits(t: Tables) -> DataFrame:
-
-
-    newest = W.partitionBy("workspace_id").orderBy(F.desc("ts"), "id")
-    return rollups.limit_hits(t.limits, START, NOW).withColumn("position", F.row_number().over(newest))
+    return rollups.limit_hits(t.limits, START, NOW)
 
 
 @query(
@@ -505,20 +500,13 @@ def win_delta(t: Tables) -> DataFrame:
 @query(
     "joi_devices",
     """select d.workspace_id, d.id, d.name, d.last_seen_at, d.revoked_at, coalesce(q.n, 0) as requests_7d,
-  round(coalesce(q.v, 0), 7) as value_7d,
-  row_number() over (partition by d.workspace_id order by d.revoked_at nulls first, d.last_seen_at desc nulls last, d.id)::int
-    as position
+  round(coalesce(q.v, 0), 7) as value_7d
 from devices d left join (select workspace_id, device_id, count(*) as n, sum(value_usd) as v from requests
   where ts > timestamp '2024-01-24' group by 1, 2) q on q.workspace_id = d.workspace_id and q.device_id = d.id""",
 )
 def joi_devices(t: Tables) -> DataFrame:
-
-
-    stats = machines.devices_with_stats(t.devices, t.requests, NOW)
-    order = W.partitionBy("workspace_id").orderBy(*machines.device_order())
-    return stats.withColumn("position", F.row_number().over(order)).select(
-        "workspace_id", "id", "name", "last_seen_at", "revoked_at", "requests_7d", "value_7d", "position"
-    )
+    stats = machines.in_device_order(machines.devices_with_stats(t.devices, t.requests, NOW))
+    return stats.select("workspace_id", "id", "name", "last_seen_at", "revoked_at", "requests_7d", "value_7d")
 
 
 @query(

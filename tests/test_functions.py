@@ -147,6 +147,7 @@ def test_quantiles_match_numpy_with_a_hot_group(spark):
     data = {
         "hot": [0.0] * 3000 + [rng.lognormvariate(0, 3) for _ in range(2000)],
         "negative": [rng.uniform(-5, 5) for _ in range(501)],
+        "packed": [1.0 + i * 1e-12 for i in range(700)] + [1.001] * 5,
         "one": [4.25],
         "two": [1.0, 2.0],
         "tiny": [rng.uniform(0, 1e-12) for _ in range(40)],
