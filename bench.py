@@ -15,10 +15,9 @@ from meterloom.session import build_session
 
 HEADLINE = (
     "agg_daily_by_model", "agg_totals", "agg_by_model", "agg_projects", "agg_heatmap", "agg_cycle", "agg_machine",
-    "agg_sessions", "agg_session_stats", "top_sessions", "win_context", "joi_compaction_asof", "joi_plan_asof",
-    "agg_admin", "agg_admin_sets", "prc_value", "blk_blocks", "blk_ceiling", "blk_active", "ins_findings", "alt_fired",
-    "mrg_transcript", "mrg_counts", "mrg_meta", "mrg_email_gate", "prs_usage", "prs_limits", "otl_requests",
-    "otl_metrics", "v1_quarantine", "pse_hashes", "str_dedup", "str_blocks",
+    "agg_sessions", "agg_session_stats", "win_context", "joi_compaction_asof", "agg_admin", "prc_value", "blk_blocks",
+    "blk_ceiling", "alt_fired", "mrg_transcript", "mrg_counts", "mrg_meta", "mrg_email_gate", "prs_usage", "prs_limits",
+    "otl_metrics", "str_dedup",
 )
 
 

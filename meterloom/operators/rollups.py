@@ -67,8 +67,7 @@ def totals(
 ) -> DataFrame:
     """Headline numbers per workspace.
 
-    Pre-aggregates to (session, local day, model), so the two global distinct counts run over far fewer rows;
-    the set of active days is bounded by the calendar and needs no second distinct.
+    Pre-aggregates to (session, local day, model), so the two global distinct counts expand far fewer rows.
     """
     base = with_workspace(filtered(requests, start, end, **filters), workspaces, "timezone")
     level = base.groupBy(WS, "session_id", local_day(F.col("ts"), F.col("timezone")).alias("day"), "model").agg(
@@ -90,7 +89,7 @@ def totals(
         *[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write", "thinking")],
         F.sum("subagent_value").alias("subagent_value"),
         F.sum(F.when(model_family() == "opus", F.col("value")).otherwise(0.0)).alias("opus_value"),
-        F.size(F.collect_set("day")).cast("long").alias("active_days"),
+        F.countDistinct("day").alias("active_days"),
         F.sum(cache_savings(F.col("cache_read"))).alias("cache_savings"),
         F.sum("unpriced").alias("unpriced"),
     )
