@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, licenses, pii, rules, toxicity, winnow
+from . import bpe, dac, licenses, packing, pii, rules, toxicity, winnow
 from .batches import doc_bucket, shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir).select("doc_id", "lang", "text")).drop("lang", "text")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ids of all texts in windows of 1024."""
+    packed = packing.pack(documents(spark, sf_dir), TOKENIZER)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every text."""
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
 }
