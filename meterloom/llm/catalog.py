@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, licenses, packing, pii, rules, toxicity, winnow
+from . import bpe, dac, licenses, minhash, packing, pii, rules, toxicity, winnow
 from .batches import doc_bucket, shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.clusters(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode it again, and give digests of both."""
     coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER), TOKENIZER)
@@ -68,6 +73,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
     "op4_pii": op4_pii,
