@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, licenses, minhash, packing, pii, rules, toxicity, winnow
+from . import bpe, dac, licenses, minhash, packing, pii, rules, suffixtree, toxicity, winnow
 from .batches import doc_bucket, shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all texts by a tree learned from the rows outside the held-out bucket."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = doc_bucket(F.col("doc_id"), 5) == 1
+    trained = suffixtree.train(docs.where(~held_out))
+    return suffixtree.score(docs, trained).withColumn("held_out", held_out).withColumn("train_tokens", F.lit(trained[2]).cast("long"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every text."""
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
 }

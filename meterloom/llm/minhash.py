@@ -37,6 +37,7 @@ BRANCHES = 2
 LEAF = 24
 LEVELS = 8
 AGREE = 31
+PIECE_BYTES = 2_000_000
 #: Rows of (uid, doc_id, hash) that are broadcast to find their texts; more of them are joined by a shuffle.
 BROADCAST_ROWS = 10_000
 _SEED = 0x5EED
@@ -75,24 +76,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text.
+def span_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``lo`` to ``hi`` (both ascending).
 
-    A shingle's hash is a difference of prefix sums of byte codes times powers of a factor, shifted to its own start.
+    A hash is a difference of prefix sums of byte codes times powers of a factor, shifted to its own start. Long data goes
+    in pieces, so the sums stay small.
     """
+    table = _constants()[0]
+    out = np.empty(len(lo), np.uint64)
+    at = 0
+    while at < len(lo):
+        upto = max(at + 1, int(np.searchsorted(hi, lo[at] + PIECE_BYTES, "right")))
+        base, end = int(lo[at]), int(hi[upto - 1])
+        up, down = _POWERS.upto(end - base + 1)
+        sums = np.zeros(end - base + 1, np.uint64)
+        np.cumsum(table[data[base:end]] * up[: end - base], out=sums[1:])
+        a, b = lo[at:upto] - base, hi[at:upto] - base
+        out[at:upto] = (sums[b] - sums[a]) * down[a]
+        at = upto
+    return _mix(out)
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; with fewer words, of all its words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    table = _constants()[0]
-    up, down = _POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(WORDS, len(ends))
-    lo, hi = starts[: len(ends) - k + 1], ends[k - 1 :]
-    return np.unique(_mix((sums[hi] - sums[lo]) * down[lo]))
+    return np.unique(span_hashes(data, starts[: len(ends) - k + 1], ends[k - 1 :]))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
