@@ -9,7 +9,7 @@ suffix that is a state.
 
 Counts cover all training rows: tasks count their own (context, symbol) keys and words, and the rest is aggregation. The
 tree goes to every task, so it has a size bound, ``TRANSITIONS``: if more pass the test, the price of a follower is
-raised until they fit. A key holds all symbols of a context (56 bits), nothing is hashed there.
+raised until they fit. A key holds all symbols of a context (48 bits), nothing is hashed there.
 
 Words (for the plain unigram score beside it) are unbounded: the counts of the ``FREQUENT`` most frequent ones go to every
 task, all others are looked up by a join on a 64-bit hash. Frequent words are thus never a hot key of the join.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .batches import slices, stored, texts
 from .minhash import span_hashes
 
-DEPTH = 6
+DEPTH = 5
 LEAST_COUNT = 8
 TRANSITIONS = 2_000_000
 FREQUENT = 50_000
