@@ -69,10 +69,11 @@ def normal(text: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
-    """Texts that hold each of a fixed list of words, over the whole corpus: one row comes back."""
-    spaced = docs.select(normal(F.col("text")).alias("t"))
-    row = spaced.agg(*(F.count_if(F.instr("t", f" {w} ") > 0).alias(f"w{i}") for i, w in enumerate(words))).first()
-    return {w: row[i] or 0 for i, w in enumerate(words)}
+    """Texts that hold each of a fixed list of words, over the whole corpus; at most one row per listed word comes back."""
+    listed = F.array(*(F.lit(w) for w in words))
+    held = docs.select(F.explode(F.array_intersect(F.split(F.trim(normal(F.col("text"))), " "), listed)).alias("word"))
+    counts = {r.word: r["count"] for r in held.groupBy("word").count().collect()}
+    return {w: counts.get(w, 0) for w in words}
 
 
 def templates(docs: DataFrame, texts: dict[str, str] | None = None, containment: float = CONTAINMENT) -> list[Template]:
