@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .batches import binary_column, ranges, slices
 
 LONG_WORD = 400
-ENCODED_CHARS = 2_500_000
+ENCODED_CHARS = 1_200_000
 # The pre-tokenizer pattern of byte-level BPE.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 

@@ -6,6 +6,8 @@ the columns of a least-squares problem over the histogram with non-negative repe
 steps. Counts are rounded down and reduced where they would use more pieces than there are. What is left over is packed
 greedily: pieces are laid end to end, longest first, and cut where a window is full, so only the last window is not.
 
+Pieces wait in the shared folder with two bytes per id where the vocabulary allows it.
+
 A piece needs its rank among all pieces of its length to find its combination. Tasks count their own pieces; the counts
 are summed over tasks per length, and no length is ever ordered as a whole.
 
@@ -129,9 +131,16 @@ class Plan:
         return out
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The narrowest type that holds every id."""
+    return "<u2" if max(len(bpe.vocabulary(path).lengths) - 1, end_id) < 1 << 16 else "<u4"
+
+
 def pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
     """Full windows and rest of every document, with the writing task and the piece's slot among its equals there."""
 
+    width = id_type(path, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         used = np.zeros(size + 1, np.int64)
@@ -140,13 +149,13 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE) -> Dat
         for group, coded in bpe.groups(batches, "text", path):
             rows, held = [], 0
             for doc_id, ids in zip(group.column("doc_id").to_pylist(), coded, strict=True):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                ids = np.append(ids, np.uint32(end_id)).astype(width)
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     rows.append((doc_id, start, len(piece), len(ids), part, int(used[len(piece)]), piece.tobytes()))
                     used[len(piece)] += 1
                 held += len(ids)
-                if held >= 1_000_000:
+                if held >= 300_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
             if rows:
@@ -167,18 +176,20 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE) -> DataF
     # One row per task and length: how many pieces of that length earlier tasks have.
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    width = id_type(path, end_id)
     ranked = cut.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("slot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in PACKED.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                group = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                group = batch.slice(at, 500)
                 rows = []
                 for doc_id, start, length, total, rank, ids in zip(*(group.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "rank", "ids")), strict=True):
+                    wide = np.frombuffer(ids, width).astype("<u4")
                     for done, n, sequence, offset in plan.place(length, rank):
-                        rows.append((doc_id, start + done, n, total, sequence, offset, ids[4 * done : 4 * (done + n)]))
+                        rows.append((doc_id, start + done, n, total, sequence, offset, wide[done : done + n].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return ranked.select("doc_id", "start", "length", "doc_tokens", "rank", "ids").mapInArrow(run, PACKED)
