@@ -3,15 +3,16 @@
 Documents are sets of word shingles. Equal sets are one from the start. Every set walks down independent trees: at the
 root of tree ``t`` it goes to the node of its ``t``-th minwise token; at a node it goes on to the nodes of ``BRANCHES``
 further minwise tokens that the node picks for all its members. Two sets share such a step with the probability of their
-similarity. A node of up to ``LEAF`` sets is compared exhaustively. A larger one is only compared with one of its members
-(its pivot) and branched. ``ROOTS`` trees leave a link at the threshold unseen with a probability of about
+similarity. A node with up to ``LEAF_PAIRS`` pairs that are not yet of one component (and up to ``LEAF_ROWS`` sets) is
+compared exhaustively, by sketches of ``BINS`` bytes. A larger one is only compared with one of its members (its pivot)
+and branched. ``ROOTS`` trees leave a link at the threshold unseen with a probability of about
 ``(1 - 0.75) ** ROOTS`` if its nodes are leaves, and BRANCHES of 2 lose about 6 % of it per further level and tree.
 
-Found pairs pass three checks: sizes, agreement of the signatures (a link at the threshold fails it once in about 200,000
-cases), and the similarity of the full sets, which alone decides. After each level links are joined to components, and
-nodes whose members are all of one component are done: a large group of copies is settled by its pivots and never
-compared pair by pair. Nodes that are still large and mixed after ``LEVELS`` levels are compared exhaustively, so nothing
-is dropped.
+Found pairs pass three checks: sizes, agreement of the sketches (a link at the threshold fails it once in about 300,000
+cases), and the similarity of the full sets, which alone decides. Links are joined to components after the first pivots
+and after each level, and nodes whose members are all of one component are done: a large group of copies is settled by
+its pivots and never compared pair by pair. Nodes that are still large and mixed after ``LEVELS`` levels are compared
+exhaustively in blocks, so nothing is dropped.
 
 Null and empty texts have no shingles and link with nothing. Null ids do not count as the smallest id of a component.
 Repeated rows are copies. Other columns are left out.
@@ -24,19 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import slices, stored, texts
+from .batches import binary_column, slices, stored, texts
 from .components import components
 
 WORDS = 5
-SLOTS = 64
+SLOTS = 32
 ROOTS = 16
 BRANCHES = 2
-LEAF = 24
+LEAF_PAIRS = 1_000_000
+LEAF_ROWS = 20_000
+BLOCK = 128
+NEAREST = 3
 LEVELS = 8
-AGREE = 31
+BINS = 512
 PIECE_BYTES = 2_000_000
 #: Rows of (uid, doc_id, hash) that are broadcast to find their texts; more of them are joined by a shuffle.
 BROADCAST_ROWS = 10_000
@@ -120,6 +124,24 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte for each of ``BINS`` ranges of hash values: some bits of the smallest hash there, 0 where there is none."""
+    edges = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    at = np.searchsorted(hashes, edges)
+    after = np.append(at[1:], len(hashes))
+    out = np.zeros(BINS, np.uint8)
+    some = after > at
+    out[some] = (hashes[at[some]] % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def likely(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two sketch matrices that may reach the threshold (within 4.5 standard errors of it), and all estimates."""
+    told = BINS - ((x | y) == 0).sum(axis=1)
+    agree = ((x == y) & (x > 0)).sum(axis=1)
+    return agree >= 0.75 * told - 4.5 * np.sqrt(0.1875 * told), agree / np.maximum(told, 1)
+
+
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that tell sets apart."""
     a = int(_mix(hashes ^ np.uint64(0x9E3779B97F4A7C15)).sum()) if len(hashes) else 0
@@ -128,8 +150,8 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """One row per document: uid, doc_id, hash of the text, key of the set, its size, signature."""
-    schema = "uid long, doc_id long, text_hash long, k1 long, k2 long, n long, sig array<int>"
+    """One row per document: uid, doc_id, hash of the text, key of the set, its size, minwise tokens and sketch."""
+    schema = "uid long, doc_id long, text_hash long, k1 long, k2 long, n long, sig array<int>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -138,48 +160,81 @@ def prepared(docs: DataFrame) -> DataFrame:
             sig = np.concatenate([signature(s) for s in sets]).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column("uid"), part.column("doc_id"), part.column("text_hash"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SLOTS, pa.int32()), pa.array(sig))],
-                ["uid", "doc_id", "text_hash", "k1", "k2", "n", "sig"],
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SLOTS, pa.int32()), pa.array(sig)), binary_column([sketch(x) for x in sets])],
+                ["uid", "doc_id", "text_hash", "k1", "k2", "n", "sig", "sketch"],
             )
 
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     return source.mapInArrow(run, schema)
 
 
-def _agree(a: str, b: str) -> Column:
-    """Signature slots that agree."""
-    return F.size(F.array_remove(F.zip_with(a, b, lambda x, y: x == y), False))
-
-
-def _sizes_allow() -> Column:
-    return 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
-
-
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of nodes that hold two components or more, with the node's size, pivot and own component."""
+    """Members of nodes that hold two components or more, with the node's pivot, whether it is a leaf, and their own component."""
     if labels is None:
         named = members.withColumn("own", F.col("uid"))
     else:
         named = members.join(labels.select(F.col("node").alias("uid"), "component"), "uid", "left").select("node", "uid", F.coalesce("component", "uid").alias("own"))
-    sizes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("uid").alias("pivot"), F.min("own").alias("lo"), F.max("own").alias("hi"))
-    return named.join(sizes.where("lo != hi").drop("lo", "hi"), "node")
+    parts = named.groupBy("node", "own").agg(F.count("*").alias("size"), F.min("uid").alias("pivot"))
+    sizes = parts.groupBy("node").agg(F.sum("size").alias("size"), F.min("pivot").alias("pivot"), ((F.pow(F.sum("size"), 2) - F.sum(F.pow("size", 2))) / 2).alias("cross"))
+    small = (F.col("cross") <= LEAF_PAIRS) & (F.col("size") <= LEAF_ROWS)
+    return named.join(sizes.where("cross > 0").withColumn("small", small).drop("cross", "size"), "node")
+
+
+def _starred(live: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of each member with its node's pivot whose sizes and sketches allow the threshold."""
+    pairs = live.where("uid != pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
+    with_a = pairs.join(reps.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sketch_a")), "a")
+    with_b = with_a.join(reps.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sketch_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+            hit, share = likely(x, y)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(pa.array(hit))
+
+    return with_b.where(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, share double")
 
 
-def _pairs(live: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs of different components: each member with its node's pivot, and all pairs of nodes up to ``limit``."""
-    small = live if limit is None else live.where(F.col("size") <= limit)
-    left = small.select("node", F.col("uid").alias("a"), F.col("own").alias("own_a"))
-    right = small.select("node", F.col("uid").alias("b"), F.col("own").alias("own_b"))
-    leaf = left.join(right, "node").where("a < b and own_a != own_b").select("a", "b")
-    star = live.where("uid != pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b"))
-    return leaf.unionByName(star).distinct()
+def _compared(live: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of different components inside each node, whose sizes and sketches allow the threshold.
 
+    A node's members come together in one task, where their sketches are compared in blocks; only likely pairs leave it.
+    """
+    full = live.select("node", "uid", "own").join(reps.select("uid", "n", "sketch"), "uid").repartition("node").sortWithinPartitions("node", "uid")
+
+    def near(uid: np.ndarray, own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(uid), BLOCK):
+            for other in range(at, len(uid), BLOCK):
+                i, j = slice(at, at + BLOCK), slice(other, other + BLOCK)
+                ok = (own[i, None] != own[None, j]) & (100 * np.minimum(n[i, None], n[None, j]) >= 75 * np.maximum(n[i, None], n[None, j]))
+                if at == other:
+                    ok = np.triu(ok, 1)
+                x, y = np.nonzero(ok)
+                x, y = x + at, y + other
+                for k in range(0, len(x), 8_000):
+                    a, b = x[k : k + 8_000], y[k : k + 8_000]
+                    hit, share = likely(sig[a], sig[b])
+                    if hit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(uid[a[hit]]), pa.array(uid[b[hit]]), pa.array(share[hit])], ["a", "b", "share"])
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs whose sizes and signatures allow the threshold."""
-    with_a = pairs.join(reps.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a")), "a")
-    with_b = with_a.join(reps.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b")), "b")
-    return with_b.where(_sizes_allow() & (_agree("sig_a", "sig_b") >= AGREE)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                node = batch.column("node").to_numpy()
+                columns = [batch.column(c).to_numpy() for c in ("uid", "own", "n")]
+                columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS))
+                edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    if held and held[0][0][0] != node[lo]:
+                        yield from near(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
+                        held = []
+                    held.append((node[lo:hi], *(c[lo:hi] for c in columns)))
+        if held:
+            yield from near(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
+
+    return full.select("node", "uid", "own", "n", "sketch").mapInArrow(run, "a long, b long, share double").distinct()
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -216,43 +271,71 @@ def clusters(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     sets = stored(prepared(docs), "sets")
     firsts = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"))
-    reps = stored(sets.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash", "n", "sig"), "reps")
+    reps = stored(sets.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash", "n", "sig", "sketch"), "reps")
     roots = F.explode(F.transform(F.slice("sig", 1, ROOTS), lambda v, i: F.xxhash64(F.lit("root"), i, v)))
     members = reps.select(roots.alias("node"), "uid")
-    labels = tested = found = None
+    walk = _Walk(docs, reps)
+    # The first pivots settle groups of copies, so that the leaves need not compare them.
+    walk.confirm(_starred(_mixed(members, None), reps))
     for level in range(LEVELS + 1):
-        last = level == LEVELS
-        live = _mixed(members, labels)
-        if level:
-            live = stored(live, "live")
-            if live.isEmpty():
-                break
-        pairs = _pairs(live, None if last else LEAF)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        likely = stored(_likely(pairs, reps), "pairs")
-        tested = likely if tested is None else tested.unionByName(likely)
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        if found is not None:
-            wanted = wanted.join(found.select("uid"), "uid", "left_anti")
-        wanted = stored(reps.select("uid", "doc_id", "text_hash").join(wanted, "uid"), "wanted")
-        more = stored(_texts(wanted, docs), "texts")
-        found = more if found is None else found.unionByName(more)
-        links = _confirmed(likely, found)
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(links)
+        live = stored(_mixed(members, walk.labels), "live")
+        if live.isEmpty():
+            break
+        small, large = live.where("small"), live.where("not small")
+        walk.confirm(_compared(small if level < LEVELS else live, reps).unionByName(_starred(large, reps)).distinct())
         # Large nodes that still hold several components go one level down.
-        large = _mixed(live.where(F.col("size") > LEAF).select("node", "uid"), labels).select("node", "uid")
+        large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
         members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
-    return _result(sets, firsts, labels)
+    return _result(sets, firsts, walk.labels)
+
+
+class _Walk:
+    """Components so far, pairs that were compared, and the texts read for them."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame):
+        self.docs, self.reps = docs, reps
+        self.labels = self.tested = self.found = None
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare the full sets of new pairs and join their links to the components."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            self.labels = self.labels if self.labels is not None else components(pairs)
+            return
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        # The nearest partners of each set come first; most other pairs are then of one component and need no look.
+        best = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("share"), o)) <= NEAREST for c, o in (("a", "b"), ("b", "a"))]
+        ranked = pairs.select("a", "b", best[0].alias("near_a"), best[1].alias("near_b"))
+        first = stored(ranked.where("near_a or near_b").select("a", "b"), "nearest")
+        self._link(first)
+        names = self.labels
+        rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            rest = rest.join(names.select(F.col("node").alias(c), F.col("component").alias(f"own_{c}")), c, "left")
+        rest = stored(rest.where("coalesce(own_a, a) != coalesce(own_b, b)").select("a", "b"), "rest")
+        if not rest.isEmpty():
+            self._link(rest)
+
+    def _link(self, pairs: DataFrame) -> None:
+        wanted = pairs.select(F.col("a").alias("uid")).distinct().union(pairs.select("b").distinct()).distinct()
+        if self.found is not None:
+            wanted = wanted.join(self.found.select("uid"), "uid", "left_anti")
+        wanted = stored(self.reps.select("uid", "doc_id", "text_hash").join(wanted, "uid"), "wanted")
+        more = stored(_texts(wanted, self.docs), "texts")
+        self.found = more if self.found is None else self.found.unionByName(more)
+        links = _confirmed(pairs, self.found)
+        if self.labels is not None:
+            links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        self.labels = components(links)
 
 
 def _branches() -> Column:
     """Nodes that a member of ``node`` goes on to: the node picks the slots, the member's tokens there name the nodes."""
     each = []
     for k in range(BRANCHES):
-        slot = F.pmod(F.xxhash64(F.col("node"), F.lit(k)), F.lit(SLOTS)).cast("int")
+        slot = (ROOTS + F.pmod(F.xxhash64(F.col("node"), F.lit(k)), F.lit(SLOTS - ROOTS))).cast("int")
         each.append(F.xxhash64(F.col("node"), slot, F.element_at("sig", slot + 1)))
     return F.array(*each)
 
