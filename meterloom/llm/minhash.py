@@ -135,11 +135,16 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def likely(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two sketch matrices that may reach the threshold (within 4.5 standard errors of it), and all estimates."""
+def likely(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two sketch matrices that may reach the threshold (within 4.5 standard errors of it), and all estimates.
+
+    ``n`` is the sum of both set sizes. The bins show a sample of the union, which at the threshold has ``n / 1.75``
+    members; the smaller the sets, the more of them it shows, and the smaller is the error.
+    """
     told = BINS - ((x | y) == 0).sum(axis=1)
     agree = ((x == y) & (x > 0)).sum(axis=1)
-    return agree >= 0.75 * told - 4.5 * np.sqrt(0.1875 * told), agree / np.maximum(told, 1)
+    unseen = np.clip(1 - told / np.maximum(n / 1.75, 1), 0.05, 1)
+    return agree >= 0.75 * told - 4.5 * np.sqrt(0.1875 * told * unseen) - 1, agree / np.maximum(told, 1)
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -189,10 +194,10 @@ def _starred(live: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-            hit, share = likely(x, y)
+            hit, share = likely(x, y, batch.column("na").to_numpy() + batch.column("nb").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(pa.array(hit))
 
-    return with_b.where(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, share double")
+    return with_b.where(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, share double")
 
 
 def _compared(live: DataFrame, reps: DataFrame) -> DataFrame:
@@ -213,7 +218,7 @@ def _compared(live: DataFrame, reps: DataFrame) -> DataFrame:
                 x, y = x + at, y + other
                 for k in range(0, len(x), 8_000):
                     a, b = x[k : k + 8_000], y[k : k + 8_000]
-                    hit, share = likely(sig[a], sig[b])
+                    hit, share = likely(sig[a], sig[b], n[a] + n[b])
                     if hit.any():
                         yield pa.RecordBatch.from_arrays([pa.array(uid[a[hit]]), pa.array(uid[b[hit]]), pa.array(share[hit])], ["a", "b", "share"])
 
