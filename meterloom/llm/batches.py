@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +54,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the one that all executors share (``spark.checkpoint.dir``).
 
-    Without that setting there is no folder that every executor is known to see, so the caller's mistake is
-    reported instead of writing to one machine's disk.
+    A session on one machine without that setting gets a folder of its own; elsewhere there is none that every executor
+    is known to see, so the caller's mistake is reported.
     """
-    import os
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
@@ -74,12 +76,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def doc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, by which held-out rows are chosen; null counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-WORD_BREAK = re.compile(rb"[\x20\x09-\x0D]+")
-
-
-def words(text: str, lower: bool = True) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, with A-Z lower-cased if asked."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return (raw.lower() if lower else raw).split()
