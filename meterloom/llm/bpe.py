@@ -254,19 +254,24 @@ def groups(batches: Iterator[pa.RecordBatch], column: str, path: str) -> Iterato
         yield part, encode_group(vocab, part.column(column))
 
 
-def encode(df: DataFrame, path: str, column: str = "text", into: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, column: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """All columns but the text, and its ids as little-endian unsigned 32-bit integers in a binary column.
 
-    A column already called ``into`` is replaced.
+    With ``decoded``, a column of that name holds the text that the ids decode to, made in the same pass. Columns already
+    called ``into`` or ``decoded`` are replaced.
     """
-    kept = [f for f in df.schema.fields if f.name not in (column, into)]
+    kept = [f for f in df.schema.fields if f.name not in (column, into, decoded)]
     names = [f.name for f in kept]
+    added = [T.StructField(into, T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
         for part, ids in groups(batches, column, path):
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), binary_column([i.astype("<u4") for i in ids])], [*names, into])
+            made = [binary_column([i.astype("<u4") for i in ids])] + ([pa.array([vocab.decode(i) for i in ids], pa.string())] if decoded else [])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *(f.name for f in added)])
 
-    return df.drop(into).mapInArrow(run, T.StructType([*kept, T.StructField(into, T.BinaryType())]))
+    source = df.select(*[c for c in df.columns if c in names or c == column])
+    return source.mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def decode(df: DataFrame, path: str, column: str = "ids", into: str = "text") -> DataFrame:

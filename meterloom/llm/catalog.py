@@ -25,7 +25,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode it again, and give digests of both."""
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER), TOKENIZER)
+    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER, decoded="text")
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
