@@ -69,6 +69,7 @@ def test_bpe_long_words_and_special_tokens():
 def test_bpe_frames(docs, none):
     coded = bpe.decode(bpe.encode(docs, PATH), PATH)
     assert sorted(r.text for r in coded.collect()) == sorted(r[1] or "" for r in ROWS)
+    assert sorted(r.text for r in bpe.encode(docs, PATH, decoded="text").collect()) == sorted(r[1] or "" for r in ROWS)
     assert bpe.encode(none, PATH).count() == 0
 
 
