@@ -69,7 +69,6 @@ PLANS = (
 
 # Ids may carry a date, a version or "-latest" after the book key.
 _ID_SUFFIX = r"(-\d{8}|-v\d.*|-latest)"
-_MAX_BOOK = 10_000
 _PRICE_COLUMNS = (
     "price_key", "label", "family", "effective_from", "input_rate", "write_5m_rate", "write_1h_rate",
     "read_rate", "output_rate", "fast_multiplier", "long_threshold", "long_input_rate",
@@ -77,26 +76,27 @@ _PRICE_COLUMNS = (
 )
 
 
-def _sql(value) -> str:
-    if value is None:
-        return "cast(null as double)"
-    return f"'{value}'" if isinstance(value, str) else f"{float(value)}D"
+def _local_table(spark: SparkSession, rows: Sequence[tuple], columns: dict[str, str]) -> DataFrame:
+    """Rows as a local relation, whose size Spark knows; values travel as parameters, never as SQL text."""
+    args = {f"v{i}_{j}": cell for i, r in enumerate(rows) for j, cell in enumerate(r)}
+    kinds = list(columns.values())
+    cells = [", ".join(f"cast(:v{i}_{j} as {kind})" for j, kind in enumerate(kinds)) for i in range(len(rows))]
+    values = ", ".join(f"({c})" for c in cells)
+    return spark.sql(f"select * from values {values} as t({', '.join(columns)})", args=args)
 
 
 def price_table(spark: SparkSession, book: Sequence[Price] = PRICE_BOOK) -> DataFrame:
-    """The price book as a DataFrame. Its size is capped, so joining it by broadcast is always safe."""
-    if len(book) > _MAX_BOOK:
-        raise ValueError(f"price book has {len(book)} entries; the lookup join allows {_MAX_BOOK}")
+    """The price book as a DataFrame. Spark knows its size, so it picks the join that fits."""
     for p in book:
         if re.search(_ID_SUFFIX, p.key):
             raise ValueError(f"price key {p.key!r} contains an id suffix")
     rows = []
     for p in book:
         long_rates = p.long_rates or (None,) * 5
-        cells = (p.key, p.label, p.family, p.effective_from, *p.rates, p.fast_multiplier, p.long_threshold,
-                 *long_rates)
-        rows.append("(" + ", ".join(_sql(c) for c in cells) + ")")
-    return spark.sql(f"select * from values {', '.join(rows)} as book({', '.join(_PRICE_COLUMNS)})")
+        numbers = (*p.rates, p.fast_multiplier, p.long_threshold, *long_rates)
+        rows.append((p.key, p.label, p.family, p.effective_from, *[None if n is None else float(n) for n in numbers]))
+    kinds = ["string"] * 4 + ["double"] * (len(_PRICE_COLUMNS) - 4)
+    return _local_table(spark, rows, dict(zip(_PRICE_COLUMNS, kinds)))
 
 
 def price_key(model: Column) -> Column:
@@ -108,7 +108,7 @@ def price_key(model: Column) -> Column:
 
 def with_prices(df: DataFrame, book: Sequence[Price] = PRICE_BOOK, model: str = "model") -> DataFrame:
     """Left-join the book columns (label, family and rates; null where the model is unknown)."""
-    prices = F.broadcast(price_table(df.sparkSession, book))
+    prices = price_table(df.sparkSession, book)
     return df.join(prices, price_key(F.col(model)) == F.col("price_key"), "left")
 
 
@@ -175,8 +175,7 @@ def detect_plan(tier: Column) -> Column:
 
 
 def plan_table(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{k}', '{label}', {usd}D)" for k, label, usd in PLANS)
-    return spark.sql(f"select * from values {rows} as plans(plan, plan_label, monthly_usd)")
+    return _local_table(spark, PLANS, {"plan": "string", "plan_label": "string", "monthly_usd": "double"})
 
 
 def plan_label(plan: Column) -> Column:

@@ -853,7 +853,7 @@ def str_dedup(t: Tables) -> DataFrame:
 )
 def str_max_output(t: Tables) -> DataFrame:
     folder = shared_dir(t.spark, "outputs")
-    dedup.send_growing(event_stream(t), f"{folder}/sent", f"{folder}/checkpoint").awaitTermination()
+    dedup.send_growing(event_stream(t), f"{folder}/sent", f"{folder}/checkpoint", arrived="ts").awaitTermination()
     sent = t.spark.read.parquet(f"{folder}/sent")
     return sent.groupBy(WS, "request_id").agg(F.max("output").alias("output"))
 

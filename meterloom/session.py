@@ -49,10 +49,12 @@ def build_session(app: str = "meterloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    Clusters name that folder in ``spark.checkpoint.dir``; a local scratch folder is used only where the
-    setting is absent (tests on one machine).
+    Clusters name that folder in ``spark.checkpoint.dir``. Without the setting, a session on one machine gets a
+    scratch folder; elsewhere no folder is known to be shared, so the call fails instead of losing rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"

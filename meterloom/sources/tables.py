@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranges import in_range
-from ..operators.maintenance import cutoff_day
+from ..operators.maintenance import RETENTION, cutoff_day, kept
 from ..operators.merge import REQUEST, upsert_requests
 from ..schemas import REQUESTS
 from ..session import shared_dir
@@ -57,10 +57,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _drop_days(spark: SparkSession, path: str, days: list[str]) -> None:
     for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{DAY}={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(spark, f"{path}/{DAY}={day}")
 
 
 def upsert_request_table(spark: SparkSession, path: str, incoming: DataFrame) -> None:
@@ -88,12 +92,29 @@ def upsert_request_table(spark: SparkSession, path: str, incoming: DataFrame) ->
     write_facts(ready, path, mode="overwrite")
     filled = {r[0] for r in ready.select(F.to_date("ts")).distinct().collect()}
     _drop_days(spark, path, [str(d) for d in days if d not in filled])
+    _remove(spark, staging)
 
 
 def drop_expired(spark: SparkSession, path: str, table: str, now: datetime) -> None:
-    """Retention: remove whole expired day folders. The cut-off day itself is trimmed on read."""
+    """Retention: remove expired day folders whole and rewrite the cut-off day without its expired rows.
+
+    The day's remaining rows are staged in full before they replace it, so a lost executor leaves the same table.
+    """
     if not _exists(spark, path):
         return
     cutoff = cutoff_day(table, now).date()
-    days = spark.read.parquet(path).select(F.col(DAY).cast("string")).distinct()
-    _drop_days(spark, path, [r[0] for r in days.filter(F.col(DAY) < F.lit(str(cutoff))).collect()])
+    stored = spark.read.parquet(path)
+    # At most one entry per calendar day.
+    days = {str(r[0]) for r in stored.select(DAY).distinct().filter(F.col(DAY) <= F.lit(cutoff)).collect()}
+    _drop_days(spark, path, sorted(days - {str(cutoff)}))
+    if str(cutoff) not in days:
+        return
+    edge = spark.read.parquet(path).filter(F.col(DAY) == F.lit(cutoff)).drop(DAY)
+    staging = shared_dir(spark, "retention")
+    kept(edge, table, now).write.parquet(staging)
+    left = spark.read.schema(edge.schema).parquet(staging)
+    if left.isEmpty():
+        _drop_days(spark, path, [str(cutoff)])
+    else:
+        write_facts(left, path, RETENTION[table][0], mode="overwrite")
+    _remove(spark, staging)

@@ -16,20 +16,24 @@ def first_events(stream: DataFrame, delay: str = "3 days", key: str = "id") -> D
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["workspace_id", key])
 
 
-def grown(batch: DataFrame, sent: DataFrame) -> DataFrame:
+def grown(batch: DataFrame, sent: DataFrame, arrived: str = "ts") -> DataFrame:
     """Largest output per request in a batch, where it exceeds what was sent before.
 
     The maximum is partially aggregated before it shuffles, so a request repeated without end costs one row
     per task.
     """
-    best = batch.groupBy(*KEYS).agg(F.max("output").alias("output"), F.max(F.to_date("ts")).alias("day"))
+    best = batch.groupBy(*KEYS).agg(F.max("output").alias("output"), F.max(F.to_date(arrived)).alias("day"))
     return not_yet_sent(best, sent, KEYS)
 
 
 def send_growing(
-    stream: DataFrame, folder: str, checkpoint: str, ttl_days: int = 3, trigger: dict | None = None
+    stream: DataFrame, folder: str, checkpoint: str, ttl_days: int = 3, trigger: dict | None = None,
+    arrived: str | None = None,
 ) -> StreamingQuery:
-    """Pass requests on only when their output grew; memory of what was sent lasts ``ttl_days``.
+    """Pass requests on only when their output grew; memory of what was sent lasts ``ttl_days`` from arrival.
+
+    ``arrived`` names the column that holds the arrival time; without it, a row arrives when its batch runs. Times
+    that clients set are not used, so an event dated in the future does not empty the memory.
 
     What was sent is a table by day and batch. A batch reads the days still remembered, without its own
     earlier attempt, and writes its own folder, so a replay gives the same rows.
@@ -38,7 +42,8 @@ def send_growing(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = batch.agg(F.max(F.to_date("ts"))).first()[0]
+        batch = batch.withColumn("_arrived", F.current_timestamp() if arrived is None else F.col(arrived))
+        newest = batch.agg(F.max(F.to_date("_arrived"))).first()[0]
         if newest is None:
             return
         sent = spark.createDataFrame([], schema)
@@ -46,7 +51,7 @@ def send_growing(
             sent = spark.read.schema(schema).option("ignoreMissingFiles", "true").parquet(folder).filter(
                 (F.col("day") >= F.date_sub(F.lit(newest), ttl_days)) & (F.col("batch") < batch_id)
             )
-        rows = grown(batch, sent.select(*KEYS, "output")).withColumn("batch", F.lit(batch_id))
+        rows = grown(batch, sent.select(*KEYS, "output"), "_arrived").withColumn("batch", F.lit(batch_id))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(
             folder
         )

@@ -15,16 +15,25 @@ from ..sources.tables import upsert_request_table
 from ..sources.transcripts import stream_lines, with_position
 
 
-def usage_deliveries(parsed: DataFrame, batch_id: int, project_salt: str | None = None) -> DataFrame:
-    """Deliveries of one micro-batch: one per request, valid records only."""
+def usage_deliveries(
+    parsed: DataFrame, batch_id: int, project_salt: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Deliveries of one micro-batch, one per request, and the records that failed validation."""
     rows = parse.usage(parsed, project_salt)
     one = parse.collapse_usage(rows, REQUEST)
-    valid, _ = split_records(one, "usage")
-    return as_deliveries(
+    valid, refused = split_records(one, "usage")
+    deliveries = as_deliveries(
         valid.withColumn("seq", F.lit(batch_id * 2)).withColumn("source", F.lit("transcript")).withColumn(
             "batch_id", F.lit(str(batch_id))
         )
     )
+    return deliveries, as_refused(refused, "usage")
+
+
+def as_refused(refused: DataFrame, kind: str) -> DataFrame:
+    """Quarantine rows of any record kind: workspace, kind, reason and the record as JSON."""
+    record = F.to_json(F.struct(*[c for c in refused.columns if c != "reason"]))
+    return refused.select("workspace_id", F.lit(kind).alias("kind"), "reason", record.alias("record"))
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -35,12 +44,24 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def _write_parsed(batch: DataFrame, batch_id: int, folder: str, workspace_of, project_salt: str | None) -> DataFrame:
     # Five record kinds come out of one parse; a lost executor only re-parses its part.
     parsed = parse.parse_lines(workspace_of(with_position(batch))).persist()
-    deliveries = usage_deliveries(parsed, batch_id, project_salt)
+    deliveries, quarantine = usage_deliveries(parsed, batch_id, project_salt)
     write_batch(deliveries, f"{folder}/deliveries", batch_id)
-    write_batch(parse.api_errors(parsed).drop("seq"), f"{folder}/problems", batch_id)
-    write_batch(parse.session_events(parsed).drop("seq"), f"{folder}/session_events", batch_id)
-    write_batch(parse.snapshots(parsed), f"{folder}/snapshots", batch_id)
-    write_batch(parse.meta_lines(parsed), f"{folder}/meta", batch_id)
+    problems = parse.api_errors(parsed).drop("seq")
+    errors, bad_errors = split_records(problems.filter("kind = 'error'"), "error")
+    limits, bad_limits = split_records(problems.filter("kind = 'limit'"), "limit")
+    events, bad_events = split_records(parse.session_events(parsed).drop("seq"), "session_event")
+    snapshots, bad_snapshots = split_records(parse.snapshots(parsed), "session_snapshot")
+    meta, bad_meta = split_records(parse.meta_lines(parsed), "session_meta")
+    write_batch(errors.unionByName(limits), f"{folder}/problems", batch_id)
+    write_batch(events, f"{folder}/session_events", batch_id)
+    write_batch(snapshots, f"{folder}/snapshots", batch_id)
+    write_batch(meta, f"{folder}/meta", batch_id)
+    for refused, kind in (
+        (bad_errors, "error"), (bad_limits, "limit"), (bad_events, "session_event"),
+        (bad_snapshots, "session_snapshot"), (bad_meta, "session_meta"),
+    ):
+        quarantine = quarantine.unionByName(as_refused(refused, kind))
+    write_batch(quarantine, f"{folder}/quarantine", batch_id)
     counts = parse.unknown_counts(parsed, ["workspace_id"])
     write_batch(counts, f"{folder}/unknown_types", batch_id)
     parsed.unpersist()
@@ -60,7 +81,8 @@ def ingest_sessions(
 ) -> StreamingQuery:
     """Tail landed session files.
 
-    Each micro-batch writes its deliveries to the log and folds them into the request table. Both steps give
+    Each micro-batch writes its deliveries to the log and folds them into the request table; records that fail
+    validation go to ``quarantine`` with their reason. All steps give
     the same result when repeated, so at-least-once input has an exactly-once effect. ``workspace_of`` adds
     ``workspace_id`` to lines; ``after`` runs once the batch is stored (for example alert evaluation).
     """
@@ -79,21 +101,24 @@ def ingest_sessions(
 def ingest_telemetry(
     spark: SparkSession, payloads: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Fold streamed telemetry payloads (``workspace_id, device_id, body, received_at``) into the request table."""
+    """Fold streamed telemetry payloads (``workspace_id, device_id, body, received_at``) into the request table.
+
+    Reports of a request are merged in order of arrival; ``seq`` orders them within their batch.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         records = otlp.log_records(batch)
-        newest = F.max_by(F.struct("*"), F.struct("ts", F.xxhash64("session_id", "output")))
-        rows = otlp.requests(records)
-        one = rows.groupBy(*REQUEST).agg(newest.alias("_r"), F.max("output").alias("_out"))
-        flat = one.select("_r.*", "_out").withColumn("output", F.col("_out")).drop("_out")
-        deliveries = as_deliveries(
-            flat.withColumn("seq", F.lit(batch_id * 2 + 1)).withColumn("batch_id", F.lit(str(batch_id)))
-        )
+        # Every report is a delivery of its own, numbered by arrival: the range shuffle splits a request that
+        # repeats without end, and ids grow from one range to the next.
+        arrival = ["received_at", "ts", "request_id", F.xxhash64("session_id", "output")]
+        rows = otlp.requests(records).repartitionByRange(*arrival).sortWithinPartitions(*arrival)
+        numbered = rows.withColumn("seq", F.monotonically_increasing_id())
+        deliveries = as_deliveries(numbered.withColumn("batch_id", F.lit(str(batch_id))))
         write_batch(deliveries, f"{folder}/telemetry", batch_id)
         stored = batch.sparkSession.read.parquet(f"{folder}/telemetry/batch={batch_id}")
         upsert_request_table(batch.sparkSession, f"{folder}/requests", stored)
-        write_batch(otlp.errors(records), f"{folder}/telemetry_errors", batch_id)
+        errors = otlp.errors(records).dropDuplicates(["workspace_id", "id"])
+        write_batch(errors, f"{folder}/telemetry_errors", batch_id)
 
     writer = payloads.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -29,8 +29,11 @@ def test_request_table_upsert_moves_and_keeps_rows(spark, tmp_path):
     october = tables.read_facts(spark, path, REQUESTS, datetime(2026, 10, 1), datetime(2026, 10, 3))
     assert october.count() == 3
     assert "PartitionFilters: [isnotnull(day" in october._jdf.queryExecution().executedPlan().toString()
-    tables.drop_expired(spark, path, "requests", datetime(2026, 11, 20))
+    # the cut-off falls inside October 2 (00:30): its day stays, and again once nothing of it is left
+    tables.drop_expired(spark, path, "requests", datetime(2026, 10, 2, 0, 30) + timedelta(days=60))
     assert sorted(rows(tables.read_facts(spark, path, REQUESTS), "request_id")) == [("a",), ("b",), ("d",)]
+    tables.drop_expired(spark, path, "requests", datetime(2026, 10, 2, 1, 30) + timedelta(days=60))
+    assert tables.read_facts(spark, path, REQUESTS).count() == 0
 
 
 def test_export_is_formula_safe(spark, tmp_path):
@@ -77,14 +80,54 @@ def test_streaming_ingest_equals_batch(spark, tmp_path):
     assert again == got
 
 
+def test_refused_records_reach_quarantine(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    parsed = ingest.parse.usage
+    # the parser cuts texts to size, so a record that fails is made behind it
+    too_long = F.when(F.col("request_id") == "C", F.repeat(F.lit("p"), 201))
+    monkeypatch.setattr(ingest.parse, "usage", lambda *a: parsed(*a).withColumn("project", too_long))
+    write(tmp_path / "in" / "projects" / "p", "s.jsonl", assistant("A", 3), assistant("C", 7))
+    ingest.ingest_sessions(spark, str(tmp_path / "in"), out, str(tmp_path / "cp"), with_workspace).awaitTermination()
+    (held,) = spark.read.parquet(f"{out}/quarantine").collect()
+    assert (held.workspace_id, held.kind, held.reason) == ("ws", "usage", "project: length")
+    assert json.loads(held.record)["request_id"] == "C"
+    assert rows(tables.read_facts(spark, f"{out}/requests", REQUESTS), "request_id") == [("A",)]
+
+
+def test_telemetry_of_one_batch_is_coalesced(spark, tmp_path):
+    def payload(minute, **attrs):
+        record = {"timeUnixNano": str(1_780_000_000_000_000_000 + minute * 60_000_000_000), "body": {"stringValue": "api_request"},
+                  "attributes": [{"key": k, "value": {"stringValue": str(v)}} for k, v in {"request_id": "q", "model": "m", **attrs}.items()]}
+        return json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record]}]}]})
+
+    at, src = datetime(2026, 6, 1), str(tmp_path / "src")
+    schema = "workspace_id string, device_id string, body string, received_at timestamp"
+    full = payload(5, output_tokens=4, duration_ms=70, cost_usd=0.5)
+    bare = payload(1, output_tokens=9)
+    given = [("w", "d", b, at + timedelta(minutes=i)) for i, b in enumerate((full, bare))]
+    spark.createDataFrame(given, schema).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    out = str(tmp_path / "out")
+    ingest.ingest_telemetry(spark, stream, out, str(tmp_path / "cp")).awaitTermination()
+    log = spark.read.parquet(f"{out}/telemetry").orderBy("seq").collect()
+    # both reports are kept, in order of arrival and not of the time they carry
+    assert [r.output for r in log] == [4, 9] and len({r.seq for r in log}) == 2
+    (row,) = tables.read_facts(spark, f"{out}/requests", REQUESTS).collect()
+    want = merge.merge_deliveries(spark.createDataFrame([
+        ("w", "q", "otel", 0, "m", 4, 70, 0.5, log[0].ts), ("w", "q", "otel", 1, "m", 9, None, None, log[1].ts)],
+        "workspace_id string, request_id string, source string, seq long, model string, output long, duration_ms long, otel_cost_usd double, ts timestamp")).first()
+    assert (row.output, row.duration_ms, row.otel_cost_usd) == (want.output, want.duration_ms, want.otel_cost_usd)
+
+
 def test_growing_outputs_across_batches(spark, tmp_path):
-    src, schema = tmp_path / "src", "workspace_id string, request_id string, output long, ts timestamp"
+    src, schema = tmp_path / "src", "workspace_id string, request_id string, output long, ts timestamp, landed timestamp"
     at = datetime(2026, 10, 1)
+    ahead = at + timedelta(days=400)
 
     def land(*data):
-        spark.createDataFrame([("w", r, o, t) for r, o, t in data], schema).coalesce(1).write.mode("append").parquet(str(src))
+        spark.createDataFrame([("w", r, o, ahead, t) for r, o, t in data], schema).coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(schema).parquet(str(src))
-        dedup.send_growing(stream, str(tmp_path / "sent"), str(tmp_path / "cp")).awaitTermination()
+        dedup.send_growing(stream, str(tmp_path / "sent"), str(tmp_path / "cp"), arrived="landed").awaitTermination()
         return sorted(rows(spark.read.parquet(str(tmp_path / "sent")), "batch", "request_id", "output"))
 
     assert land(("a", 3, at), ("a", 5, at), ("b", 1, at)) == [(0, "a", 5), (0, "b", 1)]
