@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
     "raw_requests": """
 select concat('ws_', user_id % 8) as workspace_id, concat('req_', event_id) as request_id,
   concat('s_', user_id, '_', [DAY]) as session_id,
-  case when user_id % 7 = 0 then null else concat('dev_', user_id % 24) end as device_id,
+  case when user_id % 7 = 0 then null else concat('dev_', user_id) end as device_id,
   ts,
   case event_type when 'view' then 'claude-haiku-5-5' when 'click' then 'claude-sonnet-4-5-20250929'
     when 'signup' then 'claude-opus-5-5[1m]' when 'purchase' then 'anthropic.claude-opus-4-8'
@@ -65,7 +65,7 @@ from events""",
     "limit_events": """
 select concat('ws_', user_id % 8) as workspace_id, concat('lim_', event_id) as id,
   concat('s_', user_id, '_', [DAY]) as session_id,
-  case when user_id % 7 = 0 then null else concat('dev_', user_id % 24) end as device_id, ts,
+  case when user_id % 7 = 0 then null else concat('dev_', user_id) end as device_id, ts,
   case when event_id % 100 = 0 then 'weekly' when event_id % 100 = 20 then 'unknown' else 'five_hour' end
     as limit_kind,
   case when event_id % 40 = 0 then 'manual' else 'transcript' end as source
@@ -73,7 +73,7 @@ from events where event_type = 'error' and event_id % 20 = 0""",
     "error_events": """
 select concat('ws_', user_id % 8) as workspace_id, concat('err_', event_id) as id,
   concat('s_', user_id, '_', [DAY]) as session_id,
-  case when user_id % 7 = 0 then null else concat('dev_', user_id % 24) end as device_id, ts,
+  case when user_id % 7 = 0 then null else concat('dev_', user_id) end as device_id, ts,
   case event_id % 6 when 0 then 'prompt_too_long' when 1 then 'auth' when 2 then 'network'
     when 3 then 'rate_limit' when 4 then 'overloaded' else 'other' end as reason_class
 from events where event_type = 'error' and event_id % 20 <> 0""",
@@ -108,15 +108,16 @@ from customer""",
     "devices": """
 select concat('dev_', s_suppkey) as id, concat('ws_', s_suppkey % 8) as workspace_id, s_name as name,
   case when s_suppkey % 3 = 0 then 'linux' end as os, '1.0' as parser_version,
-  [TS] '2023-12-01 00:00:00' + s_suppkey * interval '1 day' as created_at,
+  [TS] '2023-12-01 00:00:00' + (s_suppkey % 20) * interval '1 day'
+    + cast(floor(s_suppkey / 20) as bigint) * interval '1 second' as created_at,
   case when s_suppkey % 9 = 8 then null when s_suppkey % 4 = 3 then [TS] '2024-01-20 00:00:00'
     else [TS] '2024-01-30 00:00:00' end as last_seen_at,
   case when s_suppkey % 5 = 4 then [TS] '2024-01-25 00:00:00' end as revoked_at,
   cast(s_suppkey % 3 as bigint) as refused_uploads,
-  case when s_suppkey % 3 > 0 then [TS] '2024-01-15 00:00:00' + s_suppkey * interval '1 day' end
+  case when s_suppkey % 3 > 0 then [TS] '2024-01-15 00:00:00' + (s_suppkey % 20) * interval '1 day' end
     as last_refused_at,
   case when s_suppkey % 3 > 0 then 'account_mismatch' end as last_refused_reason
-from supplier where s_suppkey < 20""",
+from supplier""",
     "session_meta": """
 select distinct concat('ws_', e.user_id % 8) as workspace_id, concat('s_', e.user_id, '_', [DAY]) as session_id,
   case when e.user_id % 6 = 0 then null else c.c_name end as title,
@@ -146,7 +147,7 @@ union all
 select concat('ws_', n_nationkey), 'max5x', 100.0e0, date '2024-01-10'
 from nation where n_nationkey < 8 and n_nationkey <> 5""",
     "log_entries": """
-select concat('ws_', user_id % 8) as workspace_id, concat('dev_', user_id % 24) as device_id, ts as received_at,
+select concat('ws_', user_id % 8) as workspace_id, concat('dev_', user_id) as device_id, ts as received_at,
   concat('type_', event_id % 13) as unknown_a, event_id % 5 + 1 as n_a, concat('system/', event_id % 4) as unknown_b,
   event_id % 3 + 1 as n_b
 from events where event_type = 'click'""",
@@ -188,7 +189,7 @@ select concat('ws_', user_id % 8) as workspace_id, concat('s_', user_id, '_', [D
 from events""",
     "uploads": """
 select o_orderkey as upload_id, concat('ws_', o_custkey % 8) as workspace_id,
-  concat('dev_', o_custkey % 24) as device_id, o_orderkey as seq, o_orderdate as ts,
+  concat('dev_', o_custkey) as device_id, o_orderkey as seq, o_orderdate as ts,
   concat('hash_', case when o_custkey % 9 = 0 then 99 else o_custkey % 8 end) as account_hash,
   case when o_custkey % 4 = 0 then 'max_20x' else 'pro' end as tier,
   concat('Customer#', substring(cast(1000000000 + o_custkey % 40 as varchar(10)), 2, 9), '@example.com') as email,
@@ -207,12 +208,14 @@ select concat('ws_', user_id % 8) as workspace_id, concat('s_', user_id) as sess
   cast([K] as double) as total_cost_usd, [K] % 7 as lines_added
 from events""",
     "login_passes": """
-select concat('root_', c_custkey % 6) as root, [TS] '2024-01-01 00:00:00' + c_custkey * interval '97 minutes' as pass_at,
+select concat('root_', c_custkey % 6 + 6 * cast(floor(c_custkey / 500) as bigint)) as root,
+  [TS] '2024-01-01 00:00:00' + (c_custkey % 500) * interval '97 minutes' as pass_at,
   case when c_custkey % 13 = 5 then null else concat('acct_', cast(floor(c_custkey / 40) as bigint)) end as account_hash,
   c_custkey % 17 = 4 as caught_switch
-from customer where c_custkey < 500""",
+from customer""",
     "landed_lines": """
-select event_id, concat('root_', user_id % 6) as root, ts as landed_at from events""",
+select event_id, concat('root_', user_id % 6 + 6 * cast(floor(user_id / 50) as bigint)) as root, ts as landed_at
+from events""",
     "line_facts": """
 select event_id, concat('ws_', user_id % 8) as workspace_id, concat('s_', user_id, '_', [DAY]) as session_id, ts,
   [K] as k, event_type, user_id
