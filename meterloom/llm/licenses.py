@@ -1,7 +1,8 @@
 """License texts by an exact set-similarity join, in DataFrame operations only.
 
-A template is the set of words of a license text. A text block is a line. A block meets a template if it holds at least
-``CONTAINMENT`` of the template's words. The join is exact and filters in three steps:
+A template is the set of words of a license text. A text block is a line and as many of the words after it as the
+template is long but one, so a notice is in one block wherever it begins in a line and however it is wrapped. A block
+meets a template if it holds at least ``CONTAINMENT`` of the template's words. The join is exact and filters in three steps:
 
 * Prefix. Template words are ordered by their frequency in the whole corpus, rarest first. A block that lacks the first
   ``size - needed + 1`` of them cannot reach ``needed`` shared words, so only blocks with one of these words go on.
@@ -57,6 +58,7 @@ class Template:
     label: str
     ordered: tuple[str, ...]  # rarest word first
     needed: int
+    length: int  # words, repeated ones as often as they stand
 
     @property
     def prefix(self) -> tuple[str, ...]:
@@ -78,19 +80,21 @@ def word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
 
 def templates(docs: DataFrame, texts: dict[str, str] | None = None, containment: float = CONTAINMENT) -> list[Template]:
     """Templates with their words in order of frequency in ``docs``."""
-    sets = {label: set(t.split()) for label, t in (texts or TEMPLATES).items()}
+    listed = {label: t.split() for label, t in (texts or TEMPLATES).items()}
+    sets = {label: set(t) for label, t in listed.items()}
     counts = word_counts(docs, sorted(set().union(*sets.values())))
-    return [Template(label, tuple(sorted(s, key=lambda w: (counts[w], w))), math.ceil(containment * len(s) - 1e-9)) for label, s in sets.items()]
+    return [Template(label, tuple(sorted(s, key=lambda w: (counts[w], w))), math.ceil(containment * len(s) - 1e-9), len(listed[label])) for label, s in sets.items()]
 
 
 def candidates(blocks: DataFrame, wanted: list[Template]) -> DataFrame:
     """Pairs of block and template after the three filters, each pair once, at its first shared word.
 
-    ``blocks`` has ``words``, the set of a block. Blocks without any prefix word stay, with a null label.
+    ``blocks`` has ``words``, the set of a block as it is for the longest template. Blocks without any prefix word stay,
+    with a null label.
     """
     spark = blocks.sparkSession
-    rows = [(w, t.label, list(t.ordered), p, t.needed) for t in wanted for p, w in enumerate(t.prefix)]
-    index = spark.createDataFrame(rows, "word string, label string, ordered array<string>, place int, needed int")
+    rows = [(w, t.label, list(t.ordered), p, t.needed, t.length) for t in wanted for p, w in enumerate(t.prefix)]
+    index = spark.createDataFrame(rows, "word string, label string, ordered array<string>, place int, needed int, length int")
     prefix = F.array(*(F.lit(w) for w in sorted({r[0] for r in rows})))
     passed = (
         (F.size("words") >= F.col("needed"))  # length
@@ -126,18 +130,25 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, containment: floa
         labels.append(F.when(there, F.lit(label)))
     prefix = sorted({w for t in wanted for w in t.prefix})
     held = lambda c: functools.reduce(operator.or_, (F.contains(c, F.lit(f" {w} ")) for w in prefix))
-    padded = F.transform(F.split("lines", "\n"), lambda b: F.concat(F.lit(" "), b, F.lit(" ")))
     # Most texts hold no prefix word at all and are not cut into blocks.
-    blocks = F.when(held("t"), F.transform(F.filter(padded, held), lambda b: F.array_distinct(F.split(F.trim(b), " +"))))
+    filled = F.when(held("t"), F.filter(F.transform(F.split("lines", "\n"), lambda b: F.trim(b)), lambda b: b != ""))
     base = read.select(
-        "doc_id", "row", blocks.alias("blocks"),
+        "doc_id", "row", F.transform(filled, lambda b: F.split(b, " +")).alias("cut"),
         F.when(F.trim("t") == "", 0).otherwise(n_spaces(F.col("t")) - 1).cast("long").alias("n_words"),
         functools.reduce(operator.add, places).cast("long").alias("n_base"),
         F.array_min(F.array(*first)).cast("long").alias("first_word"), F.array_max(F.array(*last)).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base_labels"),
     )
-    met = candidates(base.withColumn("words", F.explode_outer("blocks")).drop("blocks"), wanted)
-    shared = F.when(F.col("label").isNotNull(), F.size(F.array_intersect("words", "ordered")))
+    # Each line that is left has a word at least, so the next ``more`` lines hold the words that a block can need.
+    more = max((t.length for t in wanted), default=1) - 1
+    follows = lambda i: F.slice(F.flatten(F.slice("cut", i + 2, F.lit(more))), 1, more)
+    runs = F.transform("cut", lambda w, i: F.struct(F.concat(w, follows(i)).alias("run"), F.size(w).alias("own")))
+    listed = F.array(*(F.lit(w) for w in prefix))
+    base = base.withColumn("blocks", F.filter(runs, lambda b: F.arrays_overlap(b["run"], listed))).drop("cut")
+    base = base.withColumn("block", F.explode_outer("blocks")).drop("blocks")
+    met = candidates(base.withColumn("words", F.array_distinct("block.run")), wanted)
+    inside = F.slice("block.run", F.lit(1), F.col("block.own") + F.col("length") - 1)
+    shared = F.when(F.col("label").isNotNull(), F.size(F.array_intersect(inside, "ordered")))
     met = met.withColumn("share", F.when(shared >= F.col("needed"), shared / F.size("ordered")))
     carried = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     judged = met.groupBy("row").agg(
