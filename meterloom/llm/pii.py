@@ -92,13 +92,38 @@ _NUMBER = "(?:" + "|".join(DIGIT_WORDS) + "|double|triple)"
 # Spelled digits count in runs of four or more, so that a number word in prose stays what it is.
 _SPELLED = re.compile(rf"\b{_NUMBER}(?:(?:[ ,.-]|, ){_NUMBER}\b|(?:[ -])?[0-9]+\b|[ -]){{3,}}", re.I)
 _NUMBER_WORD = re.compile(rf"\b{_NUMBER}\b", re.I)
-# A sign in brackets, or spelled out between the parts of an address.
-_BRACKET = re.compile(r"[ ]?[\[({<][ ]?(at|dot|punkt|point|punto|arroba|@|\.)[ ]?[\])}>][ ]?", re.I)
-_SPOKEN = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{2,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63})* dot (?:com|org|net|edu|gov|info|biz|dev|io|co|[a-z]{2})\b", re.I)
-_SIGN = re.compile(r" (at|dot) ", re.I)
+# A sign of an address is plain, in brackets or spelled out, each of them as it comes.
+_OPEN, _CLOSE = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
+_BRACKET = re.compile(rf"{_OPEN}(at|dot|punkt|point|punto|arroba|@|\.){_CLOSE}", re.I)
+_AT_SIGN = re.compile(rf"@| at |{_OPEN}(?:at|arroba|@){_CLOSE}", re.I)
+_DOT = rf"(?:\.| dot |{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE})"
+_HOST = re.compile(rf"[A-Z0-9-]{{1,63}}(?:{_DOT}[A-Z0-9-]{{1,63}})*{_DOT}[A-Z]{{2,63}}\b", re.I)
+_SAID_DOT = re.compile(" dot ", re.I)
+# What must stand in a lower-cased text that has an address with a spelled sign.
+_SAID = re.compile(r" at [a-z0-9-]{1,63}(?:\.[a-z0-9-]| dot |[ ]?[\[({<])|(?:@|[\])}>])[ ]?[a-z0-9-][^\n@]* dot ")
+# ``look at the dot product``: an article is no host, unless a well-known name follows.
+_ARTICLE = re.compile(r"(?:the|an?) dot (?!(?:com|org|net|edu|gov|info|biz|dev|io|co|[a-z]{2})\b)", re.I)
 _AT = {"at", "@", "arroba"}
 
 
+def _spoken(line: str) -> Iterator[tuple[int, int, str]]:
+    """Spelled signs of the addresses in a line, and the sign that each stands for."""
+    done = 0
+    for sign in _AT_SIGN.finditer(line):
+        start = sign.start()
+        while start > done and line[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(line, sign.end()) if any(c.isalnum() for c in line[start : sign.start()]) else None
+        said = sign.group().lower() == " at "
+        if host is None or said and _ARTICLE.match(line, sign.end()):
+            continue
+        if said:
+            yield sign.start(), sign.end(), "@"
+        for dot in _SAID_DOT.finditer(line, host.start(), host.end()):
+            yield dot.start(), dot.end(), "."
+        done = host.end()
+
+
 class Rewrites:
     """Pieces of a normalised text and the source characters each stands for."""
 
@@ -158,13 +183,13 @@ def _spell(piece: Rewrites, text: str, offset: int) -> None:
 def disguised(text: str) -> list[tuple[str, int, int]]:
     """Spans that appear only after normalising."""
     alike = not text.isascii() and _ALIKE.search(text) is not None
-    low = text.lower()
-    bracket = any(c in text for c in "[({<") and _BRACKET.search(text) is not None
-    spoken = " at " in low and " dot " in low
-    spelled = sum(low.count(w) > 0 for w in DIGIT_WORDS) >= 1 and _SPELLED.search(text) is not None
+    flat = text.translate(HOMOGLYPHS) if alike else text  # disguises are looked for behind look-alikes, too
+    low = flat.lower()
+    bracket = any(c in flat for c in "[({<") and _BRACKET.search(flat) is not None
+    spoken = (" at " in low or " dot " in low) and _SAID.search(low) is not None
+    spelled = any(w in low for w in DIGIT_WORDS) and _SPELLED.search(flat) is not None
     if not (alike or bracket or spoken or spelled):
         return []
-    flat = text.translate(HOMOGLYPHS) if alike else text
     out, at = [], 0
     for line in flat.split("\n"):  # no identifier crosses a line
         source = text[at : at + len(line)]
@@ -173,9 +198,8 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
             for m in _BRACKET.finditer(line):
                 rewrites.add(m.start(), m.end(), "@" if m.group(1).lower() in _AT else ".")
         if spoken:
-            for m in _SPOKEN.finditer(line):
-                for s in _SIGN.finditer(line, m.start(), m.end()):
-                    rewrites.add(s.start(), s.end(), "@" if s.group(1).lower() == "at" else ".")
+            for edit in _spoken(line):
+                rewrites.add(*edit)
         if spelled:
             for m in _SPELLED.finditer(line):
                 _spell(rewrites, m.group(), m.start())

@@ -1,6 +1,8 @@
 """Cases in which the operators once did less than the whole job."""
 
-from meterloom.llm import licenses
+import pytest
+
+from meterloom.llm import licenses, pii
 
 NOTICES = {
     "permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
@@ -18,3 +20,27 @@ def test_wrapped_notices(spark):
     for label in NOTICES:
         assert label in got[label] and label in got[f"{label}-words"]
     assert got["none"] == [""]
+
+
+@pytest.mark.parametrize(
+    "found",
+    [
+        "ann ［at］ mail ［dot］ org",
+        "ann at mail dоt org",
+        "ann [at] mail dot org",
+        "ann at mail [dot] org",
+        "ann@mail dot org",
+        "ann at mail.org",
+        "a at mail dot org",
+        "ann at mail dot shop",
+        "call +4 ｏne two three four five six seven eight"[5:],
+    ],
+)
+def test_stacked_and_mixed_disguises(found):
+    text = f"write {found}, today"
+    assert [text[a:b] for _, a, b in pii.spans(text)[1]] == [found]
+
+
+@pytest.mark.parametrize("text", ["look at the dot product", "we met at noon. Then we left", "open at 10.30 on the dot today"])
+def test_prose_is_no_address(text):
+    assert pii.spans(text)[1] == []
