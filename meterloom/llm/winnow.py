@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .batches import slices, texts
 
-K = 16
-WINDOW = 64
+K = 8
+WINDOW = 8
 FACTOR = 0x9E3779B97F4A7C15
 
 

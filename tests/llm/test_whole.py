@@ -2,7 +2,7 @@
 
 import pytest
 
-from meterloom.llm import licenses, pii
+from meterloom.llm import licenses, pii, winnow
 
 NOTICES = {
     "permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
@@ -44,3 +44,11 @@ def test_stacked_and_mixed_disguises(found):
 @pytest.mark.parametrize("text", ["look at the dot product", "we met at noon. Then we left", "open at 10.30 on the dot today"])
 def test_prose_is_no_address(text):
     assert pii.spans(text)[1] == []
+
+
+def test_short_texts_share_marks_with_their_edits():
+    sentence = "a quick fox ran over some lazy dogs while ten judges boxed with five wizards near my quay"
+    for n in range(22, len(sentence)):
+        text = sentence[:n]
+        changed = winnow.edit(text, "0123456789" * 10)
+        assert winnow.likeness(winnow.marks(text)[0], winnow.marks(changed)[0]) > 0
