@@ -8,8 +8,9 @@ smoothed towards its parent's with as much weight as it has different followers.
 suffix that is a state.
 
 Counts cover all training rows: tasks count their own (context, symbol) keys and words, and the rest is aggregation. The
-tree goes to every task, so it has a size bound, ``TRANSITIONS``: if more pass the test, the price of a follower is
-raised until they fit. A key holds all symbols of a context (48 bits), nothing is hashed there.
+tree grows with them. Its most frequent states, up to ``TRANSITIONS`` rows, go to every task; those are closed under
+suffixes. Only symbols whose state there has a longer one elsewhere are looked up in a table of all other states, by joins
+of their distinct keys. A key holds all symbols of a context (48 bits), nothing is hashed there.
 
 Words (for the plain unigram score beside it) are unbounded: the counts of the ``FREQUENT`` most frequent ones go to every
 task, all others are looked up by a join on a 64-bit hash. Frequent words are thus never a hot key of the join.
@@ -20,6 +21,7 @@ scored each; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -127,24 +129,58 @@ def divergences(level: DataFrame) -> DataFrame:
     return child.join(parent, ["k", "parent_key"]).groupBy("k", "context").agg(gain.alias("gain"), F.max("followers").alias("followers"), F.max("total").alias("total"))
 
 
-def retained(level: DataFrame, symbols: int, least_count: int = LEAST_COUNT, transitions: int = TRANSITIONS) -> DataFrame:
+def retained(level: DataFrame, symbols: int, least_count: int = LEAST_COUNT) -> DataFrame:
     """Rows of ``level`` that belong to states: contexts that pass the test, their suffixes, and the root."""
     tested = stored(divergences(level).where(F.col("total") >= least_count), "divergences")
     price = math.log(max(2, symbols)) / 2
-    while True:
-        passing = tested.where(F.col("gain") >= price * F.col("followers"))
-        suffixes = passing.select(F.explode(F.sequence(F.lit(1), "k")).alias("j"), "context").select(F.col("j").alias("k"), F.col("context").bitwiseAND(F.expr("shiftleft(1L, j * 8) - 1")).alias("context")).distinct()
-        rows = stored(level.join(suffixes, ["k", "context"], "left_semi").unionByName(level.where("k = 0")).select("k", "key", "n", "total", "followers"), "tree")
-        if rows.count() <= transitions:
-            return rows
-        price *= 1.5
+    passing = tested.where(F.col("gain") >= price * F.col("followers"))
+    suffixes = passing.select(F.explode(F.sequence(F.lit(1), "k")).alias("j"), "context").select(F.col("j").alias("k"), F.col("context").bitwiseAND(F.expr("shiftleft(1L, j * 8) - 1")).alias("context")).distinct()
+    return stored(level.join(suffixes, ["k", "context"], "left_semi").unionByName(level.where("k = 0")).select("k", "key", "n", "total", "followers"), "tree")
+
+
+def parted(rows: DataFrame, transitions: int) -> tuple[DataFrame, DataFrame | None]:
+    """The states that go to tasks, with ``more``: whether a longer one is elsewhere; and all others with their logs."""
+    if rows.count() <= transitions:
+        return rows.withColumn("more", F.lit(False)), None
+    least = 2
+    # A context occurs at most as often as its suffixes, so any bound leaves a part that is closed under suffixes.
+    while rows.where((F.col("total") >= least) & (F.col("k") > 0)).count() > transitions:
+        least *= 2
+    near = (F.col("total") >= least) | (F.col("k") == 0)
+    above = rows.where("k = 0").select("k", "key", ((F.col("n") + F.col("followers") / 256) / (F.col("total") + F.col("followers"))).alias("p"))
+    parts = []
+    for depth in range(1, DEPTH + 1):
+        below = above.select(F.col("key").alias("parent_key"), F.col("p").alias("parent_p"))
+        own = rows.where(F.col("k") == depth).withColumn("parent_key", F.col("key").bitwiseAND(F.lit((1 << 8 * depth) - 1)))
+        own = own.join(below, "parent_key").withColumn("p", (F.col("n") + F.col("followers") * F.col("parent_p")) / (F.col("total") + F.col("followers")))
+        above = stored(own.select("k", "key", "p", "total", "followers"), "priced")
+        parts.append(above.where(~near).select("k", "key", F.log10("p").alias("log"), F.log10(F.col("followers") / (F.col("total") + F.col("followers"))).alias("back")))
+    rest = stored(functools.reduce(DataFrame.unionByName, parts), "rest")
+    context = F.shiftright("key", 8)
+    longer = rest.select((F.col("k") - 1).alias("k"), context.bitwiseAND(F.expr("shiftleft(1L, (k - 1) * 8) - 1")).alias("context")).distinct()
+    top = rows.where(near).withColumn("context", context).join(longer.withColumn("more", F.lit(True)), ["k", "context"], "left")
+    return top.drop("context").withColumn("more", F.coalesce("more", F.lit(False))), rest
+
+
+def looked_up(asked: DataFrame, rest: DataFrame) -> DataFrame:
+    """key, log of every ``asked (key, base, depth)``: its symbol in the longest state, from its score ``base`` at ``depth``."""
+    each = asked.select("key", "base", F.explode(F.sequence(F.col("depth") + 1, F.lit(DEPTH))).alias("k"))
+    each = each.withColumn("own", F.col("key").bitwiseAND(F.expr("shiftleft(1L, (k + 1) * 8) - 1"))).withColumn("context", F.shiftright("own", 8))
+    states = rest.select("k", F.shiftright("key", 8).alias("context"), "back").distinct()
+    # What follows a context follows its suffixes, so the states that lack a symbol are the longest ones.
+    found = each.join(states, ["k", "context"]).join(rest.select("k", F.col("key").alias("own"), "log"), ["k", "own"], "left")
+    found = found.groupBy("key").agg(F.max_by("log", F.when(F.col("log").isNotNull(), F.col("k"))).alias("log"), F.sum(F.when(F.col("log").isNull(), F.col("back"))).alias("back"))
+    return asked.join(found, "key", "left").select("key", (F.coalesce("log", "base") + F.coalesce("back", F.lit(0.0))).alias("log"))
 
 
 class Tree:
-    """States and smoothed log10 probabilities, as sorted arrays per context length."""
+    """States and smoothed log10 probabilities, as sorted arrays per context length. ``rest`` has the states that are not here."""
 
-    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray, followers: np.ndarray):
+    rest: DataFrame | None = None
+
+    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray, followers: np.ndarray, more: np.ndarray):
         self.root = np.full(256, 1 / 256)
+        self.more: list[np.ndarray] = [more[k == 0][:1] if (k == 0).any() else np.zeros(1, bool)]
         self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         self.states: list[np.ndarray] = []
@@ -165,13 +201,22 @@ class Tree:
             self.logs.append(np.log10(p))
             self.states.append(context)
             self.back.append(np.log10(f[first] / (c[first] + f[first])))
+            self.more.append(more[at][first])
             above_keys, above = own, p
         self.root = np.log10(self.root)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
+
     def score(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's symbol in the longest suffix of its context that is a state."""
+        """log10 probability of each key's symbol in the longest suffix of its context that is a state here."""
+        return self.walk(key)[0]
+
+    def walk(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, lengths of the states they come from, and whether a longer state is elsewhere."""
         key = key.astype(np.int64)
         out = self.root[key & 255]
+        deep, more = np.zeros(len(key), np.int32), np.full(len(key), self.more[0][0])
         live = np.arange(len(key))
         for depth in range(1, DEPTH + 1):
             own = key[live] & ((1 << 8 * (depth + 1)) - 1)
@@ -184,7 +229,8 @@ class Tree:
             place = np.minimum(np.searchsorted(self.keys[depth - 1], own), len(self.keys[depth - 1]) - 1)
             seen = self.keys[depth - 1][place] == own
             out[live] = np.where(seen, self.logs[depth - 1][place], self.back[depth - 1][at] + out[live])
-        return out
+            deep[live], more[live] = depth, self.more[depth][at]
+        return out, deep, more
 
 
 def train(docs: DataFrame, transitions: int = TRANSITIONS) -> tuple[DataFrame, Tree, int, int]:
@@ -195,8 +241,11 @@ def train(docs: DataFrame, transitions: int = TRANSITIONS) -> tuple[DataFrame, T
     by_kind = {r.kind: (r.n, r.v) for r in sizes}
     tokens, different = by_kind.get(0, (0, 0))
     level = stored(levels(counts), "levels")
-    rows = retained(level, by_kind.get(1, (0, 0))[0], transitions=transitions).toPandas()  # at most `transitions` rows
-    return words, Tree(*(rows[c].to_numpy(np.int64) for c in ("k", "key", "n", "total", "followers"))), tokens, different
+    top, rest = parted(retained(level, by_kind.get(1, (0, 0))[0]), transitions)
+    rows = top.toPandas()  # at most `transitions` rows and the root's
+    tree = Tree(*(rows[c].to_numpy(np.int64) for c in ("k", "key", "n", "total", "followers")), rows["more"].to_numpy(bool))
+    tree.rest = rest
+    return words, tree, tokens, different
 
 
 def score(docs: DataFrame, trained: tuple[DataFrame, Tree, int, int], frequent: int = FREQUENT) -> DataFrame:
@@ -214,8 +263,11 @@ def score(docs: DataFrame, trained: tuple[DataFrame, Tree, int, int], frequent:
             data, starts = sequences(texts(part, "text"))
             key, counts = keys(data, starts)
             coded = pa.array(key).dictionary_encode()
-            logs = tree.score(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-            scores = np.add.reduceat(logs, np.cumsum(counts) - counts)
+            logs, _, more = tree.walk(coded.dictionary.to_numpy())
+            places = coded.indices.to_numpy()
+            scores = np.add.reduceat(np.where(more, 0.0, logs)[places], np.cumsum(counts) - counts)
+            far = more[places]
+            far_pair, far_times = np.unique(np.stack([np.repeat(np.arange(len(starts)), counts)[far], key[far].astype(np.int64)]), axis=1, return_counts=True) if far.any() else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
             hashes, n_words = word_hashes(data, starts)
             owner = np.append(np.repeat(np.arange(len(starts)), n_words), np.arange(len(starts)))
             hashes = np.append(hashes, np.full(len(starts), END_WORD))
@@ -231,7 +283,8 @@ def score(docs: DataFrame, trained: tuple[DataFrame, Tree, int, int], frequent:
             new = np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])) if len(owner) else np.empty(0, bool)
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(owner)))
-            owner, hashes = owner[first], hashes[first]
+            kind = np.append(np.zeros(len(starts) + len(first), np.int32), np.ones(len(far_times), np.int32))
+            owner, hashes, times = np.append(owner[first], far_pair[0]), np.append(hashes[first], far_pair[1]), np.append(times, far_times)
             uid = part.column("uid").to_numpy()
             m, n = len(owner), len(starts)
             empty = lambda t: pa.nulls(m, t)
@@ -241,17 +294,31 @@ def score(docs: DataFrame, trained: tuple[DataFrame, Tree, int, int], frequent:
                     pa.concat_arrays([pa.array(n_words + 1), empty(pa.int64())]), pa.concat_arrays([pa.array(scores), empty(pa.float64())]),
                     pa.concat_arrays([pa.array(base), empty(pa.float64())]), pa.concat_arrays([pa.array(known), empty(pa.int64())]),
                     # A text's own row looks up nothing: its key only spreads these rows.
-                    pa.array(np.append(uid * np.int64(0x9E3779B97F4A7C1), hashes)), pa.array(np.append(np.zeros(n, np.int64), times)),
+                    pa.array(np.append(uid * np.int64(0x9E3779B97F4A7C1), hashes)), pa.array(np.append(np.zeros(n, np.int64), times)), pa.array(kind),
                 ],
-                ["uid", "doc_id", "n_tokens", "score", "base", "known", "key", "times"],
+                ["uid", "doc_id", "n_tokens", "score", "base", "known", "key", "times", "kind"],
             )
 
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    rows = source.mapInArrow(run, "uid long, doc_id long, n_tokens long, score double, base double, known long, key long, times long")
-    looked = rows.join(words.withColumnRenamed("n", "c"), "key", "left")
-    rare = F.when(F.col("times") > 0, F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(below))).otherwise(F.lit(0.0))
+    rows = source.mapInArrow(run, "uid long, doc_id long, n_tokens long, score double, base double, known long, key long, times long, kind int")
+    words = words.select("key", F.col("n").alias("c"))
+    if tree.rest is None:
+        looked = rows.join(words, "key", "left").withColumn("log", F.lit(0.0))
+    else:
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = model.value[0]
+            for part in slices(batches, "text"):
+                key = np.unique(keys(*sequences(texts(part, "text")))[0])
+                base, deep, more = tree.walk(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[more].astype(np.int64)), pa.array(base[more]), pa.array(deep[more])], ["key", "base", "depth"])
+
+        far = looked_up(stored(docs.select("text").mapInArrow(asked, "key long, base double, depth int").dropDuplicates(["key"]), "asked"), tree.rest)
+        table = words.select("key", F.lit(0).alias("kind"), "c", F.lit(0.0).alias("log")).unionByName(far.select("key", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("c"), "log"))
+        looked = rows.join(table, ["kind", "key"], "left")
+    rare = F.when((F.col("times") > 0) & (F.col("kind") == 0), F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5)) - F.lit(below))).otherwise(F.lit(0.0))
     met = F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)
     return looked.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(met)).alias("n_known"), (F.max("base") + F.sum(rare)).alias("base_score"), F.max("score").alias("score"),
+        (F.max("known") + F.sum(met)).alias("n_known"), (F.max("base") + F.sum(rare)).alias("base_score"), (F.max("score") + F.sum(F.when(F.col("kind") == 1, F.col("times") * F.col("log")).otherwise(0.0))).alias("score"),
     ).drop("uid")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from meterloom.llm import licenses, pii, winnow
+from meterloom.llm import licenses, pii, suffixtree, winnow
 
 NOTICES = {
     "permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
@@ -52,3 +52,15 @@ def test_short_texts_share_marks_with_their_edits():
         text = sentence[:n]
         changed = winnow.edit(text, "0123456789" * 10)
         assert winnow.likeness(winnow.marks(text)[0], winnow.marks(changed)[0]) > 0
+
+
+def test_suffix_tree_beyond_what_tasks_hold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    whole, parts = suffixtree.train(docs), suffixtree.train(docs, transitions=2000)
+    assert whole[1].rest is None and parts[1].rest.count() > 2000 and sum(map(len, parts[1].keys)) <= 2000
+    want = {r.doc_id: r for r in suffixtree.score(docs, whole).collect()}
+    got = suffixtree.score(docs, parts).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r.score - want[r.doc_id].score) < 1e-6 and abs(r.base_score - want[r.doc_id].base_score) < 1e-6
+        assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens)
