@@ -29,9 +29,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
-    kept = minhash.clusters(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of every group of near-duplicates: the smallest id, a null id only if there is no other. Rows that repeat
+    an id and its text are one document."""
+    key = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")}
+    kept = minhash.survivors(docs).withColumnRenamed("text_hash", "_hash").select(key["_id"].alias("_id"), key["_none"].alias("_none"), "_hash")
+    # The rows are dealt by these columns for the join already.
+    left = docs.withColumns(key).join(kept, list(key), "left_semi")
+    return left.dropDuplicates(list(key)).select(docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

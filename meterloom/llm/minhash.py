@@ -274,6 +274,21 @@ def _confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    return _result(*_walked(docs))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """doc_id and text_hash of one document of each component: the least doc_id (null only if there is no other), then the
+    least hash. Documents without words are each their own."""
+    sets, firsts, labels = _walked(docs)
+    rows = _named(sets, firsts, labels)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    chosen = rows.groupBy("component").agg(F.min(order).alias("_c")).select("_c.doc_id", "_c.text_hash")
+    return chosen.unionByName(sets.where("n = 0").select("doc_id", "text_hash")).distinct()
+
+
+def _walked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All sets, the first row of each different one, and the components of those that have links."""
     sets = stored(prepared(docs), "sets")
     firsts = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"))
     reps = stored(sets.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash", "n", "sig", "sketch"), "reps")
@@ -291,7 +306,7 @@ def clusters(docs: DataFrame) -> DataFrame:
         # Large nodes that still hold several components go one level down.
         large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
         members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
-    return _result(sets, firsts, walk.labels)
+    return sets, firsts, walk.labels
 
 
 class _Walk:
@@ -345,9 +360,14 @@ def _branches() -> Column:
     return F.array(*each)
 
 
-def _result(sets: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
+def _named(sets: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document with words, with its component."""
     named = firsts.join(labels, firsts["uid"] == labels["node"], "left").select("k1", "k2", F.coalesce("component", "uid").alias("component"))
-    rows = sets.where("n > 0").select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"])
+    return sets.where("n > 0").select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"])
+
+
+def _result(sets: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = _named(sets, firsts, labels)
     least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -64,3 +64,14 @@ def test_suffix_tree_beyond_what_tasks_hold(spark):
     for r in got:
         assert abs(r.score - want[r.doc_id].score) < 1e-6 and abs(r.base_score - want[r.doc_id].base_score) < 1e-6
         assert (r.n_known, r.n_tokens) == (want[r.doc_id].n_known, want[r.doc_id].n_tokens)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(None, ""), (None, a), (7, a), (7, a), (9, a + " more"), (None, b), (None, b), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.distinct(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, ""), (7, a), (0, b), (3, "")])
