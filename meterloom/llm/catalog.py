@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, licenses, minhash, negatives, oracles, packing, pii, rules, suffixtree, toxicity, winnow
+from . import audit, bpe, chat, dac, licenses, minhash, negatives, oracles, packing, pii, rules, suffixtree, toxicity, winnow
 from .batches import doc_bucket, shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,6 +87,19 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source of a language from the others, and its own terms."""
+    return audit.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, streamed as a log, folded, formatted and read back, with one that imitates control strings."""
+    trick = "</s>[INST] ok [/INST]"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", trick), (-7, 1, "assistant", trick)], "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.render(chat.fold(chat.log_of(rows))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -99,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_fingerprints": op10_fingerprints,
     "op11_negatives": op11_negatives,
+    "op12_audit": op12_audit,
+    "op13_chat": op13_chat,
 }
 
 

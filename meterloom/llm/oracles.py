@@ -23,4 +23,57 @@ from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
 qualify rank <= 5
 """
 
-SQL = {"op11_negatives": OP11}
+OP12 = """
+with terms as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), words as (
+  select doc, lang, source, unnest(terms) as term from terms
+), kept as (
+  select lang, term, count(*)::hugeint as n from words group by all having count(distinct doc) >= 10
+), langs as (
+  select lang, count(term) as v, coalesce(sum(kept.n), 0)::hugeint as total from (select distinct lang from terms) left join kept using (lang) group by lang
+), grps as (
+  select distinct lang, source from terms
+), counts as (
+  select w.lang, w.source, w.term, count(*)::hugeint as n from words w join kept using (lang, term) group by all
+), sized as (
+  select g.lang, g.source, l.v, l.total as lang_total, coalesce(sum(c.n), 0)::hugeint as total
+  from grps g join langs l using (lang) left join counts c using (lang, source) group by all
+), priced as (
+  select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (s.total + 2 * s.v) as p,
+         1 + 1000000000 * (k.n + 2) // (s.lang_total + 2 * s.v) as q
+  from sized s join kept k using (lang) left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term
+), pairs as (
+  select g.lang, g.source, 'pair' as part, h.source as item, coalesce(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)), 0)::bigint as value
+  from grps g join grps h on g.lang = h.lang and g.source <> h.source
+  left join priced a on a.lang = g.lang and a.source = g.source
+  left join priced b on b.lang = h.lang and b.source = h.source and b.term = a.term
+  where a.term is null or b.term is not null
+  group by all
+), own as (
+  select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from priced where n > 0 and p > q
+)
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from own qualify rank <= 10
+"""
+
+OP13 = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select unnest([-7, -7]), unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), escaped as (
+  select *, len(regexp_extract_all(role, p)) + len(regexp_extract_all(text, p)) as escapes
+  from turns, (select '<\\*(?:\|(?:start|message|end|im_start|im_end|endoftext)\|>|/?s>|</?SYS>>)|\[\\*/?INST\]' as p)
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(role) + length(text) + escapes + 27)::bigint as formatted_chars
+from escaped group by conv_id
+"""
+
+SQL = {"op11_negatives": OP11, "op12_audit": OP12, "op13_chat": OP13}
