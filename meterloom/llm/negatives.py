@@ -18,7 +18,8 @@ of all rows in one cell, one label or with one vector is thereby dealt over many
 
 Defined cases: rows without an id, label or vector, or with a null or non-finite component, take no part. Shorter vectors
 count as filled up with zeros. Rows that repeat an id are rows of their own, but never a partner of that id; repeated anchors
-give repeated results. Equal scores go by the smaller id. An empty table, no anchors, or no row in a window give no rows.
+give repeated results. Equal scores go by the smaller id; scores beyond 64 bits stop at the bound. An empty table, no anchors, or
+no row in a window give no rows.
 Other columns are left out.
 """
 
