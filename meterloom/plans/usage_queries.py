@@ -131,10 +131,10 @@ def src_filter_options(t: Tables) -> DataFrame:
 @query(
     "flt_filters",
     f"""select workspace_id, count(*) as requests, round(sum(value_usd), 7) as value from requests
-where {_IN} and model = 'claude-haiku-5-5' and project = 'proj_3' and device_id = 'dev_11' group by 1""",
+where {_IN} and model = 'claude-haiku-5-5' and project = 'proj_3' and device_id = 'dev_3' group by 1""",
 )
 def flt_filters(t: Tables) -> DataFrame:
-    rows = rollups.filtered(t.requests, START, NOW, model="claude-haiku-5-5", project="proj_3", device="dev_11")
+    rows = rollups.filtered(t.requests, START, NOW, model="claude-haiku-5-5", project="proj_3", device="dev_3")
     return rows.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("requests"), F.sum("value_usd").alias("value"))
 
 
