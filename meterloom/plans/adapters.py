@@ -253,12 +253,13 @@ class Tables:
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
-    def view(self, name: str) -> DataFrame:
+    def view(self, name: str, **given: DataFrame) -> DataFrame:
+        """A view over the folder's tables, or over ``given`` ones (a stream, for example)."""
         sql = _fill(VIEWS[name], "spark")
         used = [s for s in _SOURCES if re.search(rf"\b(from|join) {s}\b", sql)]
         for s in used:
             sql = re.sub(rf"\b(from|join) {s}\b", rf"\1 {{{s}}}", sql)
-        return self.spark.sql(sql, **{s: self.source(s) for s in used})
+        return self.spark.sql(sql, **{s: given[s] if s in given else self.source(s) for s in used})
 
     @cached_property
     def requests(self) -> DataFrame:

@@ -7,12 +7,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hashing
+from ..functions import hashing, pricing
 from ..operators import gates, maintenance, merge, otlp, parse, rollups, validate
 from ..sources import batches
 from ..streaming import blocks as stream_blocks
 from ..streaming import dedup
-from ..session import shared_dir
+from ..session import shared_dir, stream_settings
 from . import wire
 from .adapters import NOW, START, Tables
 from .registry import cte, key_sql, query, value_sql
@@ -832,11 +832,20 @@ def event_stream(t: Tables) -> DataFrame:
     )
 
 
+def request_and_limit_streams(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The events file as two streams, shaped by the same views as the tables."""
+    schema = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
+    events = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return pricing.price_requests(t.view("raw_requests", events=events)), t.view("limit_events", events=events)
+
+
 def run_to_table(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now and return what it wrote."""
     folder = shared_dir(t.spark, name)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-    writer.option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    with stream_settings(t.spark):
+        writer.option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -858,26 +867,16 @@ def str_max_output(t: Tables) -> DataFrame:
     return sent.groupBy(WS, "request_id").agg(F.max("output").alias("output"))
 
 
-cte(
-    "closed_hours",
-    """select concat('ws_', user_id % 8) as workspace_id, epoch_us(date_trunc('hour', ts)) // 3600000000 as h, count(*) as n, sum(value) as v
-from events group by 1, 2 having date_trunc('hour', min(ts)) + interval 1 hour <= (select max(ts) from events) - interval 10 minutes""",
-)
-cte(
-    "stream_starts",
-    """select workspace_id, unnest(list_reduce(list_prepend([]::bigint[], list_transform(hs, lambda x: [x])),
-    lambda acc, x: case when len(acc) = 0 or x[1] >= acc[len(acc)] + 5 then list_concat(acc, x) else acc end)) as s
-from (select workspace_id, list(h order by h) as hs from closed_hours group by 1)""",
-)
-
-
 @query(
     "str_blocks",
-    """select c.workspace_id, s.s as start_hour, max(c.h) as last_hour, sum(c.n)::bigint as requests, round(sum(c.v), 7) as value
-from closed_hours c join stream_starts s on s.workspace_id = c.workspace_id and c.h >= s.s and c.h < s.s + 5 group by 1, 2""",
+    """select workspace_id, block_start, block_end, first_ts, last_ts, requests, round(value, 7) as value, round(opus_value, 7) as opus_value,
+  limits, block_limits, first_limit_ts, round(value_at_limit, 7) as value_at_limit,
+  block_end <= (select least((select max(ts) from requests), (select max(ts) from limit_events)) - interval 10 minutes)
+    or block_start < max(block_start) over (partition by workspace_id) as final
+from closed_blocks""",
 )
 def str_blocks(t: Tables) -> DataFrame:
-    updates = run_to_table(t, stream_blocks.stream_blocks(event_stream(t), "10 minutes"), "blocks")
+    updates = run_to_table(t, stream_blocks.stream_blocks(*request_and_limit_streams(t), "10 minutes"), "blocks")
     return stream_blocks.current_blocks(updates)
 
 

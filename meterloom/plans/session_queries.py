@@ -200,7 +200,8 @@ def met_snapshot_diff(t: Tables) -> DataFrame:
 
 def block_ctes(prefix: str, start: str, end: str) -> None:
     """Oracle blocks over [start, end): a recursive chain over active hours, then a range join."""
-    window = f"ts >= timestamp '{start}' and ts < timestamp '{end}'"
+    until = end if end.startswith("(") else f"timestamp '{end}'"
+    window = f"ts >= timestamp '{start}' and ts < {until}"
     cte(
         f"{prefix}_hours",
         f"""select distinct workspace_id, epoch_us(date_trunc('hour', ts)) // 3600000000 as h from requests where {window}
@@ -232,16 +233,19 @@ left join (select b.workspace_id, b.s, count(*) as requests, sum(r.value_usd) as
     sum(case when r.family = 'opus' then r.value_usd else 0 end) as opus_value,
     sum(case when r.ts <= b.first_limit_ts then r.value_usd else 0 end) as reached
   from {prefix}_base b join requests r on r.workspace_id = b.workspace_id and r.ts >= b.block_start and r.ts < b.block_end
-  where r.ts >= timestamp '{start}' and r.ts < timestamp '{end}' group by 1, 2) q
+  where r.ts >= timestamp '{start}' and r.ts < {until} group by 1, 2) q
   on q.workspace_id = b.workspace_id and q.s = b.s
 left join (select b.workspace_id, b.s, count(*) as limits, count(*) filter (where e.limit_kind <> 'weekly') as block_limits,
     min(e.ts) as first_ts, max(e.ts) as last_ts
   from {prefix}_base b join limit_events e on e.workspace_id = b.workspace_id and e.ts >= b.block_start and e.ts < b.block_end
-  where e.ts >= timestamp '{start}' and e.ts < timestamp '{end}' group by 1, 2) l
+  where e.ts >= timestamp '{start}' and e.ts < {until} group by 1, 2) l
   on l.workspace_id = b.workspace_id and l.s = b.s""",
     )
 
 
+# What the watermark of two streams, the slower of them, has closed.
+CLOSED = "(select date_trunc('hour', least((select max(ts) from requests), (select max(ts) from limit_events)) - interval 10 minutes))"
+block_ctes("closed", "2023-12-31 19:00:00", CLOSED)
 block_ctes("month", "2023-12-31 19:00:00", "2024-01-31 00:00:00")
 block_ctes("kept", "2023-12-02 00:00:00", "2024-01-31 00:00:00")
 block_ctes("fortnight", "2024-01-16 19:00:00", "2024-01-31 00:00:00")

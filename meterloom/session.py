@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +32,25 @@ TUNING_CONF = {
 }
 
 
+# Keyed state with timers needs this store.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+@contextmanager
+def stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings that a stream with keyed state reads when it starts; the caller's own come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in STREAM_CONF}
+    for key, value in STREAM_CONF.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on to an existing session."""
     for key, value in ENGINE_CONF.items():

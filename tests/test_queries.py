@@ -1,4 +1,4 @@
-"""Every registered query against its oracle SQL on the smallest data."""
+"""Every registered query against its oracle SQL on the smallest data that gives it rows."""
 
 import numbers
 import os
@@ -9,22 +9,24 @@ import pytest
 
 import __spark_entry__ as contract
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDERS = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 ORACLE = contract.oracle_sql()
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDERS[0]), reason="no test data")
 
 
 @pytest.fixture(scope="module")
-def duck():
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
-    return con
+def ducks():
+    found = {}
+    for folder in FOLDERS:
+        found[folder] = duckdb.connect()
+        for t in TABLES:
+            found[folder].execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return found
 
 
 def cell(x):
@@ -41,11 +43,14 @@ def table(df):
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_query_matches_oracle(spark, duck, name):
-    want = table(duck.execute(ORACLE[name]).df())
+def test_query_matches_oracle(spark, ducks, name):
+    for folder, duck in ducks.items():
+        want = table(duck.execute(ORACLE[name]).df())
+        if want[1]:
+            break
     # Two empty results are equal whatever the query does.
     assert want[1], "the oracle finds no rows"
-    assert table(contract.queries()[name](spark, FOLDER).toPandas()) == want
+    assert table(contract.queries()[name](spark, folder).toPandas()) == want
 
 
 def test_queries_without_sql_are_the_training_data_operators():
