@@ -331,33 +331,6 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     )
 
 
-def live_view(requests, limits, ingest_log, workspaces, now: datetime, ceilings=None, book=PRICE_BOOK) -> DataFrame:
-    """One row per workspace: active block (or zeros), ceiling and last upload.
-
-    Blocks of the last six hours are rebuilt from eleven hours of events; the ceiling comes from the cached
-    table when given, else from everything kept.
-    """
-    blocks = blocks_between(requests, limits, now - timedelta(hours=6), now, book)
-    learned = ceilings if ceilings is not None else learned_ceiling(requests, limits, now, book=book)
-    active = active_block(blocks, learned, now).drop("ceiling", "ceiling_samples")
-    last = ingest_log.groupBy(WS).agg(F.max("received_at").alias("last_ingest"))
-    base = workspaces.select(F.col("id").alias(WS))
-    joined = base.join(active, WS, "left").join(learned, WS, "left").join(last, WS, "left")
-    zero = F.lit(0.0)
-    return joined.select(
-        WS,
-        F.col("block_start").isNotNull().alias("active"),
-        F.coalesce("value", zero).alias("value"),
-        F.coalesce("requests", F.lit(0)).alias("requests"),
-        F.coalesce("burn_per_hour", zero).alias("burn_per_hour"),
-        F.coalesce("projected", zero).alias("projected"),
-        "pct_of_ceiling", "projected_pct",
-        F.col("median").alias("ceiling"),
-        F.coalesce("samples", F.lit(0)).alias("ceiling_samples"),
-        "block_start", "block_end", "last_ingest",
-    )
-
-
 def add_manual_limits(limits: DataFrame, marks: DataFrame, now: datetime) -> DataFrame:
     """Limit series with hand-made marks added. Marks in the future are dropped; any kind but weekly means
     a five-hour limit."""

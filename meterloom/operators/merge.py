@@ -222,8 +222,9 @@ def merge_meta(records: DataFrame) -> DataFrame:
     def last(name: str, condition):
         return F.max_by(name, F.when(condition & F.col(name).isNotNull(), F.col("seq"))).alias(name)
 
+    clock = [F.max("updated_at").alias("updated_at")] if "updated_at" in records.columns else []
     return joined.groupBy(*SESSION).agg(
-        last("title", counts), last("title_source", counts), last("agent_name", F.lit(True))
+        last("title", counts), last("title_source", counts), last("agent_name", F.lit(True)), *clock
     )
 
 

@@ -259,7 +259,8 @@ class Tables:
         used = [s for s in _SOURCES if re.search(rf"\b(from|join) {s}\b", sql)]
         for s in used:
             sql = re.sub(rf"\b(from|join) {s}\b", rf"\1 {{{s}}}", sql)
-        return self.spark.sql(sql, **{s: given[s] if s in given else self.source(s) for s in used})
+        spark = next(iter(given.values())).sparkSession if given else self.spark  # a micro-batch has a session of its own
+        return spark.sql(sql, **{s: given[s] if s in given else self.source(s) for s in used})
 
     @cached_property
     def requests(self) -> DataFrame:

@@ -7,7 +7,11 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alerts, blocks, insights, sessions
+from ..functions.pricing import price_requests as priced
+from ..operators import alerts, blocks, insights, live, sessions, tiles
+from ..session import shared_dir
+from ..sources.tables import write_text
+from ..streaming import alerts as stream_alerts
 from .adapters import NOW, START, Tables
 from .registry import cte, query
 
@@ -378,7 +382,7 @@ from workspaces w left join live_active a on a.workspace_id = w.id left join cei
 left join (select workspace_id, max(received_at) as last_ingest from log_entries group by 1) l on l.workspace_id = w.id""",
 )
 def blk_live(t: Tables) -> DataFrame:
-    return blocks.live_view(t.requests, t.limits, t.ingest_log, t.workspaces, NOW)
+    return live.live_view(t.requests, t.limits, t.ingest_log, t.workspaces, NOW)
 
 
 @query(
@@ -602,6 +606,33 @@ def alt_fired(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "str_alerts",
+    """select rule_id, workspace_id, type, threshold, dedupe_key, round(measure, 7) as measure, timestamp '2024-01-31' as fired_at
+from alert_rows a where not exists (select 1 from alert_events e where e.rule_id = a.rule_id and e.dedupe_key = a.dedupe_key)""",
+)
+def str_alerts(t: Tables) -> DataFrame:
+    """The events file as a stream that only leaves usage tiles; rules are evaluated on these, with what fired before."""
+    spark, folder = t.spark, shared_dir(t.spark, "alerts")
+    given = t.view("alert_events").withColumns({"type": F.lit(""), "measure": F.lit(0.0), "threshold": F.lit(0.0), "fired_at": F.lit(None).cast("timestamp")})
+    given.write.parquet(f"{folder}/alert_events/given")
+    write_text(spark, f"{folder}/alert_events/_commits/given", "")
+    _ceilings(t).write.parquet(f"{folder}/ceilings")  # kept by a daily job
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        used, hits = priced(t.view("raw_requests", events=batch)), t.view("limit_events", events=batch)
+        tiles.request_changes(used.limit(0), used).write.mode("overwrite").parquet(f"{folder}/request_tiles/generation={batch_id}")
+        tiles.limit_tiles(hits).write.mode("overwrite").parquet(f"{folder}/limit_tiles/generation={batch_id}")
+
+    schema = spark.read.parquet(f"{t.folder}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    touched = t.workspaces.select(F.col("id").alias("workspace_id"), F.lit(True).alias("has_limit"))
+    fired = stream_alerts.check(spark, folder, "batch", touched, t.view("alert_rules"), t.workspaces, t.devices, spark.read.parquet(f"{folder}/ceilings"), NOW)
+    return fired.select("rule_id", "workspace_id", "type", "threshold", "dedupe_key", "measure", "fired_at")
+
+
 @query(
     "alt_due",
     """select w.id, w.alerts_checked_at from workspaces w join (

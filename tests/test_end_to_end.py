@@ -109,9 +109,9 @@ def test_telemetry_of_one_batch_is_coalesced(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(src)
     out = str(tmp_path / "out")
     ingest.ingest_telemetry(spark, stream, out, str(tmp_path / "cp")).awaitTermination()
-    log = spark.read.parquet(f"{out}/telemetry").orderBy("seq").collect()
+    log = spark.read.parquet(f"{out}/log/requests/stream=telemetry").orderBy("row").collect()
     # both reports are kept, in order of arrival and not of the time they carry
-    assert [r.output for r in log] == [4, 9] and len({r.seq for r in log}) == 2
+    assert [r.output for r in log] == [4, 9] and len({r.row for r in log}) == 2
     (row,) = tables.read_facts(spark, f"{out}/requests", REQUESTS).collect()
     want = merge.merge_deliveries(spark.createDataFrame([
         ("w", "q", "otel", 0, "m", 4, 70, 0.5, log[0].ts), ("w", "q", "otel", 1, "m", 9, None, None, log[1].ts)],
