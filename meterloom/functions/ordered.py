@@ -41,25 +41,24 @@ def running_totals(
     return joined.select(*plain, *[(F.sum(m).over(inside) + F.col(f"_{m}")).alias(m) for m in measures])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int, tracked: int = 100_000) -> DataFrame:
-    """Hashes of keys that hold at least ``min_rows`` rows: at most 1000 of them, so safe to broadcast.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """Hashes of all keys that hold at least ``min_rows`` rows, by exact counts.
 
-    A heavy-hitter sketch reads only the key columns and never shuffles rows. Its estimates only decide how a
-    key is processed, never what is computed, so a wrong guess costs time, not correctness.
+    Rows are counted before they shuffle, as a hash and a number each. There are at most rows / ``min_rows`` such keys,
+    so their hashes are safe to broadcast.
     """
-    hashes = F.xxhash64(*keys)
-    top = df.select(hashes.alias("_h")).agg(F.expr(f"approx_top_k(_h, 1000, {tracked})").alias("_top"))
-    return (
-        top.select(F.inline("_top"))
-        .toDF("_hot_hash", "_rows")
-        .filter(F.col("_rows") >= min_rows)
-        .select("_hot_hash")
-    )
+    counts = df.groupBy(F.xxhash64(*keys).alias("_hot_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") >= min_rows).select("_hot_hash")
 
 
-def slice_hot(df: DataFrame, keys: Sequence[str], seq: str, hot_rows: int, slice_span: int) -> DataFrame:
-    """Add ``_slice``: ranges of ``seq`` for hot keys, null for all others (which stay whole)."""
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    marked = df.join(hot, F.xxhash64(*keys) == F.col("_hot_hash"), "left")
-    cut = F.floor(F.col(seq) / slice_span).cast("long")
-    return marked.withColumn("_slice", F.when(F.col("_hot_hash").isNotNull(), cut)).drop("_hot_hash")
+def split_hot(df: DataFrame, keys: Sequence[str], seq: str, hot_rows: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(ordinary rows, rows of hot keys with ``_slice``): slices are up to ``parts`` ranges of ``seq`` of about equal numbers of
+    rows, whatever the spacing of ``seq``. Where the cuts fall decides how even the work is, never what is computed."""
+    hot = hot_keys(df, keys, hot_rows)
+    named = df.withColumn("_hot_hash", F.xxhash64(*keys))
+    cold = named.join(F.broadcast(hot), "_hot_hash", "left_anti").select(*df.columns)
+    rows = named.join(F.broadcast(hot), "_hot_hash", "left_semi")
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = rows.groupBy("_hot_hash").agg(F.percentile_approx(seq, shares, 10_000).alias("_cuts"))
+    cut = F.size(F.filter("_cuts", lambda c: c < F.col(seq))).cast("long")
+    return cold, rows.join(cuts, "_hot_hash").withColumn("_slice", cut).select(*df.columns, "_slice")

@@ -106,47 +106,32 @@ def state(hours: DataFrame, after: datetime) -> DataFrame:
     )
 
 
-def active(states: DataFrame, ceilings: DataFrame, now: datetime) -> DataFrame:
-    """The block ``now`` falls in, its burn rate, projection and share of the learned ceiling (as ``blocks.active_block``)."""
-    at = as_ts(now)
-    start, end = hour_start(F.col("newest.start_hour")), hour_start(F.col("newest.start_hour") + BLOCK_HOURS)
-    live = states.where((at >= start) & (at < end)).join(ceilings, WS, "left")
-    now_us = F.unix_micros(at)
-    hours = F.greatest(now_us - F.unix_micros("newest.first_ts"), F.lit(15 * 60 * 1_000_000)) / 3_600_000_000
-    rated = live.select(
-        WS, start.alias("block_start"), end.alias("block_end"), F.col("newest.requests").alias("requests"), F.col("newest.value").alias("value"),
-        (F.col("newest.value") / hours).alias("burn_per_hour"), ((F.unix_micros(end) - now_us) / 1000).alias("remaining_ms"), "median",
-    ).withColumn("projected", F.col("value") + F.col("burn_per_hour") * F.col("remaining_ms") / 3_600_000)
-    return rated.select(
-        WS, "block_start", "block_end", "requests", "value", "burn_per_hour", "projected",
-        (F.col("value") / F.col("median")).alias("pct_of_ceiling"), (F.col("projected") / F.col("median")).alias("projected_pct"),
-    )
-
-
 def live_view(requests, limits, ingest_log, workspaces, now: datetime, ceilings=None, book=PRICE_BOOK) -> DataFrame:
-    """One row per workspace: active block (or zeros), ceiling and last upload.
+    """One row per workspace: active block (or zeros), its burn rate, projection and share of the ceiling, and last upload.
 
     Blocks of the last six hours are rebuilt from eleven hours of events; the ceiling comes from the cached
     table when given, else from everything kept.
     """
     after = now - timedelta(hours=6)
     since = after - timedelta(hours=BLOCK_HOURS)
-    recent = hours_of_facts(requests.filter(in_range(since, now)), limits, workspaces, now, since)
+    recent = state(hours_of_facts(requests.filter(in_range(since, now)), limits, workspaces, now, since), after)
     learned = ceilings if ceilings is not None else learned_ceiling(requests, limits, now, book=book)
-    block = active(state(recent, after), learned, now)
     last = ingest_log.groupBy(WS).agg(F.max("received_at").alias("last_ingest"))
     base = workspaces.select(F.col("id").alias(WS))
-    joined = base.join(block, WS, "left").join(learned, WS, "left").join(last, WS, "left")
-    zero = F.lit(0.0)
+    joined = base.join(recent.select(WS, "newest"), WS, "left").join(learned, WS, "left").join(last, WS, "left")
+
+    at, now_us = as_ts(now), F.unix_micros(as_ts(now))
+    start, end = hour_start(F.col("newest.start_hour")), hour_start(F.col("newest.start_hour") + BLOCK_HOURS)
+    inside = F.coalesce((at >= start) & (at < end), F.lit(False))
+    hours = F.greatest(now_us - F.unix_micros("newest.first_ts"), F.lit(15 * 60 * 1_000_000)) / 3_600_000_000
+    burn = F.col("newest.value") / hours
+    projected = F.col("newest.value") + burn * ((F.unix_micros(end) - now_us) / 1000) / 3_600_000
+    running = lambda c, name: F.when(inside, c).alias(name)
+    zero = lambda c, name: F.when(inside, c).otherwise(F.lit(0)).alias(name)
     return joined.select(
-        WS,
-        F.col("block_start").isNotNull().alias("active"),
-        F.coalesce("value", zero).alias("value"),
-        F.coalesce("requests", F.lit(0)).alias("requests"),
-        F.coalesce("burn_per_hour", zero).alias("burn_per_hour"),
-        F.coalesce("projected", zero).alias("projected"),
-        "pct_of_ceiling", "projected_pct",
-        F.col("median").alias("ceiling"),
-        F.coalesce("samples", F.lit(0)).alias("ceiling_samples"),
-        "block_start", "block_end", "last_ingest",
-    )
+        WS, inside.alias("active"), zero(F.col("newest.value"), "value"), zero(F.col("newest.requests"), "requests"),
+        zero(burn, "burn_per_hour"), zero(projected, "projected"),
+        running(F.col("newest.value") / F.col("median"), "pct_of_ceiling"), running(projected / F.col("median"), "projected_pct"),
+        F.col("median").alias("ceiling"), F.coalesce("samples", F.lit(0)).alias("ceiling_samples"),
+        running(start, "block_start"), running(end, "block_end"), "last_ingest",
+    )

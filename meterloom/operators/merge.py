@@ -13,11 +13,13 @@ delivery order and any number of replays give the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ordered import slice_hot
+from ..functions.ordered import split_hot
 from ..functions.pricing import PRICE_BOOK, price_requests
 from ..schemas import DELIVERIES, REQUESTS
 from .rollups import WS
@@ -48,59 +50,67 @@ def as_deliveries(df: DataFrame) -> DataFrame:
     )
 
 
-def with_wins(
-    deliveries: DataFrame, hot_rows: int | None = 1_000_000, slice_span: int = 1_000_000
-) -> DataFrame:
-    """Mark each delivery: ``wins`` for transcripts that change the row, ``leads`` for telemetry that comes
-    before any transcript.
+HOT_ROWS = 1_000_000
+PARTS = 256
 
-    A request normally has a handful of uploads. A request id repeated without end (a stuck collector) is
-    found by a heavy-hitter sketch and cut into ranges of ``seq``; every range starts from the maxima of the
-    ranges before it. ``hot_rows=None`` skips the check.
-    """
-    is_t = F.col("source") == "transcript"
-    think = F.when(is_t, F.coalesce("thinking", F.lit(0)))
-    if hot_rows is None:
-        base, keys = deliveries, REQUEST
-        carry_out = carry_think = F.lit(None).cast("long")
-        carry_t = F.lit(0).cast("long")
-    else:
-        keys = [*REQUEST, "_slice"]
-        cut = slice_hot(deliveries, REQUEST, "seq", hot_rows, slice_span)
-        sums = cut.filter(F.col("_slice").isNotNull()).groupBy(*keys).agg(
-            F.max("output").alias("_out"), F.max(think).alias("_think"), F.count_if(is_t).alias("_t")
-        )
-        before = W.partitionBy(*REQUEST).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        carry = sums.select(
-            *[F.col(k).alias(f"_c_{k}") for k in keys],
-            F.max("_out").over(before).alias("_carry_out"),
-            F.max("_think").over(before).alias("_carry_think"),
-            F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry_t"),
-        )
-        on = [F.col(k) == F.col(f"_c_{k}") for k in keys]
-        base = cut.join(carry, on, "left")
-        carry_out, carry_think = F.col("_carry_out"), F.col("_carry_think")
-        carry_t = F.coalesce("_carry_t", F.lit(0))
+
+def _is_transcript() -> Column:
+    return F.col("source") == "transcript"
+
+
+def _thinking() -> Column:
+    return F.when(_is_transcript(), F.coalesce("thinking", F.lit(0)))
+
+
+def _marked(rows: DataFrame, keys: list[str], columns: list[str], carry: tuple[Column, Column, Column]) -> DataFrame:
+    """``wins`` and ``leads`` of each row, from what came before it within ``keys`` and from ``carry``: the largest output and
+    thinking and the number of transcripts before the first row of the group."""
     earlier = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    staged = (
-        base.withColumn("_prior_out", F.greatest(F.max("output").over(earlier), carry_out))
-        .withColumn("_prior_think", F.greatest(F.max(think).over(earlier), carry_think))
-        .withColumn("_prior_t", F.coalesce(F.sum(is_t.cast("long")).over(earlier), F.lit(0)) + carry_t)
-    )
+    carry_out, carry_think, carry_t = carry
+    prior_out = F.greatest(F.max("output").over(earlier), carry_out)
+    prior_think = F.greatest(F.max(_thinking()).over(earlier), carry_think)
+    prior_t = F.coalesce(F.sum(_is_transcript().cast("long")).over(earlier), F.lit(0)) + carry_t
+    staged = rows.withColumns({"_prior_out": prior_out, "_prior_think": prior_think, "_prior_t": prior_t})
     grows = (F.col("output") > F.coalesce("_prior_out", F.lit(0))) | (
         F.coalesce("thinking", F.lit(0)) > F.coalesce("_prior_think", F.lit(0))
     )
     first = F.col("_prior_t") == 0
-    return staged.withColumn("wins", is_t & (first | grows)).withColumn("leads", ~is_t & first).select(
-        *deliveries.columns, "wins", "leads"
+    is_t = _is_transcript()
+    return staged.withColumn("wins", is_t & (first | grows)).withColumn("leads", ~is_t & first).select(*columns, "wins", "leads")
+
+
+def _marked_parts(deliveries: DataFrame, hot_rows: int | None, parts: int) -> list[DataFrame]:
+    """Marked deliveries, ordinary requests and hot ones apart.
+
+    A request normally has a handful of uploads: one window, one shuffle. The uploads of a request repeated without end (a
+    stuck collector) are cut into ranges of ``seq``. Each range is summarised, the summaries are scanned in order, and every
+    range starts from the maxima of those before it. Without hot requests the second frame is empty, and Spark drops its
+    plan once the counts are known. ``hot_rows=None`` skips the check.
+    """
+    nothing = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0).cast("long")
+    if hot_rows is None:
+        return [_marked(deliveries, REQUEST, deliveries.columns, nothing)]
+    cold, hot = split_hot(deliveries, REQUEST, "seq", hot_rows, parts)
+    keys = [*REQUEST, "_slice"]
+    sums = hot.groupBy(*keys).agg(F.max("output").alias("_out"), F.max(_thinking()).alias("_think"), F.count_if(_is_transcript()).alias("_t"))
+    before = W.partitionBy(*REQUEST).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = sums.select(
+        *keys, F.max("_out").over(before).alias("_carry_out"), F.max("_think").over(before).alias("_carry_think"),
+        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_carry_t"),
     )
+    cut = hot.join(carried, keys)
+    carry = F.col("_carry_out"), F.col("_carry_think"), F.col("_carry_t")
+    return [_marked(cold, REQUEST, deliveries.columns, nothing), _marked(cut, keys, deliveries.columns, carry)]
 
 
-def merge_deliveries(
-    deliveries: DataFrame, book=PRICE_BOOK, hot_rows: int | None = 1_000_000, slice_span: int = 1_000_000
-) -> DataFrame:
-    """Fact rows from the whole delivery history (transcripts and telemetry)."""
-    marked = with_wins(as_deliveries(deliveries), hot_rows, slice_span)
+def with_wins(deliveries: DataFrame, hot_rows: int | None = HOT_ROWS, parts: int = PARTS) -> DataFrame:
+    """Mark each delivery: ``wins`` for transcripts that change the row, ``leads`` for telemetry that comes
+    before any transcript."""
+    return functools.reduce(DataFrame.unionByName, _marked_parts(deliveries, hot_rows, parts))
+
+
+def _summed(marked: DataFrame) -> DataFrame:
+    """Everything a fact row needs of the marked deliveries of its request."""
     is_t = F.col("source") == "transcript"
 
     def last(value, condition):
@@ -113,7 +123,7 @@ def merge_deliveries(
     follows = ~is_t & ~leads
     has_device = (wins | leads) & F.col("device_id").isNotNull()
     from_agent = F.coalesce("is_subagent", F.col("agent_type").isNotNull())
-    grouped = marked.groupBy(*REQUEST).agg(
+    return marked.groupBy(*REQUEST).agg(
         F.count_if(is_t).alias("_n_t"),
         F.count_if(~is_t).alias("_n_o"),
         F.max("output").alias("output"),
@@ -125,6 +135,17 @@ def merge_deliveries(
         last(F.struct(*_EXTRA), leads).alias("_lead"),
         *[last(F.col(c), follows & F.col(c).isNotNull()).alias(f"_late_{c}") for c in _EXTRA],
     )
+
+
+def merge_deliveries(
+    deliveries: DataFrame, book=PRICE_BOOK, hot_rows: int | None = HOT_ROWS, parts: int = PARTS
+) -> DataFrame:
+    """Fact rows from the whole delivery history (transcripts and telemetry).
+
+    Ordinary requests are grouped where their window has dealt them already.
+    """
+    marked = _marked_parts(as_deliveries(deliveries), hot_rows, parts)
+    grouped = functools.reduce(DataFrame.unionByName, [_summed(m) for m in marked])
     has_t = F.col("_n_t") > 0
 
     def field(name: str):
@@ -168,14 +189,14 @@ def stored_as_deliveries(current: DataFrame) -> DataFrame:
     return as_deliveries(transcript).unionByName(as_deliveries(telemetry))
 
 
-def upsert_requests(current: DataFrame, incoming: DataFrame, book=PRICE_BOOK, hot_rows=1_000_000) -> DataFrame:
+def upsert_requests(current: DataFrame, incoming: DataFrame, book=PRICE_BOOK, hot_rows=HOT_ROWS) -> DataFrame:
     """Merged rows of every request in ``incoming``, starting from what is stored for it."""
     touched = incoming.select(*REQUEST).distinct()
     stored = stored_as_deliveries(current.join(touched, REQUEST, "left_semi"))
     return merge_deliveries(stored.unionByName(as_deliveries(incoming)), book, hot_rows)
 
 
-def merge_counts(deliveries: DataFrame, by: list[str], hot_rows: int | None = 1_000_000) -> DataFrame:
+def merge_counts(deliveries: DataFrame, by: list[str], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Accepted and deduplicated uploads per group (a batch, a device, ...). Telemetry always counts as
     accepted."""
     marked = with_wins(as_deliveries(deliveries), hot_rows)
@@ -228,7 +249,7 @@ def merge_meta(records: DataFrame) -> DataFrame:
     )
 
 
-def meta_changes(records: DataFrame, hot_rows: int = 1_000_000, slice_span: int = 1_000_000) -> DataFrame:
+def meta_changes(records: DataFrame, hot_rows: int = HOT_ROWS, parts: int = PARTS) -> DataFrame:
     """Whether each session record changed what was stored before it (records that do not are no-ops)."""
     names = ("title", "title_source", "agent_name")
     seen = records.groupBy(*SESSION).agg(
@@ -242,27 +263,26 @@ def meta_changes(records: DataFrame, hot_rows: int = 1_000_000, slice_span: int
         F.when(~blocked, F.col("title_source")).alias("_title_source"),
         F.col("agent_name").alias("_agent_name"),
     )
+    cold, hot = split_hot(staged, SESSION, "seq", hot_rows, parts)
     keys = [*SESSION, "_slice"]
-    cut = slice_hot(staged, SESSION, "seq", hot_rows, slice_span)
-    sums = cut.filter(F.col("_slice").isNotNull()).groupBy(*keys).agg(
+    sums = hot.groupBy(*keys).agg(
         *[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("seq"))).alias(f"_{n}") for n in names]
     )
     earlier_slices = W.partitionBy(*SESSION).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carry = sums.select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys],
-        *[F.last(f"_{n}", True).over(earlier_slices).alias(f"_carry_{n}") for n in names],
-    )
-    base = cut.join(carry, [F.col(k) == F.col(f"_c_{k}") for k in keys], "left")
-    up_to = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    prior = W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    same = F.lit(True)
-    for n in names:
-        carried = F.col(f"_carry_{n}")
-        before = F.coalesce(F.last(f"_{n}", True).over(prior), carried)
-        after = F.coalesce(F.last(f"_{n}", True).over(up_to), carried)
-        same = same & before.eqNullSafe(after)
-    changed = (F.col("seq") == F.col("_first")) | ~same
-    return base.withColumn("changed", changed).select(*records.columns, "changed")
+    carry = sums.select(*keys, *[F.last(f"_{n}", True).over(earlier_slices).alias(f"_carry_{n}") for n in names])
+
+    def marked(base: DataFrame, within: list[str], carried) -> DataFrame:
+        up_to = W.partitionBy(*within).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+        prior = W.partitionBy(*within).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+        same = F.lit(True)
+        for n in names:
+            before = F.coalesce(F.last(f"_{n}", True).over(prior), carried(n))
+            after = F.coalesce(F.last(f"_{n}", True).over(up_to), carried(n))
+            same = same & before.eqNullSafe(after)
+        return base.withColumn("changed", (F.col("seq") == F.col("_first")) | ~same).select(*records.columns, "changed")
+
+    ordinary = marked(cold, SESSION, lambda n: F.lit(None).cast("string"))
+    return ordinary.unionByName(marked(hot.join(carry, keys), keys, lambda n: F.col(f"_carry_{n}")))
 
 
 def merge_snapshots(records: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, pricing
 from ..operators import gates, maintenance, merge, otlp, parse, rollups, validate
-from ..sources import batches
+from ..schemas import REQUESTS
+from ..sources import batches, tables
 from ..streaming import blocks as stream_blocks
 from ..streaming import dedup
 from ..session import shared_dir, stream_settings
@@ -489,20 +490,17 @@ def mrg_otel(t: Tables) -> DataFrame:
 
 @query("mrg_sliced", "select * from priced_merged")
 def mrg_sliced(t: Tables) -> DataFrame:
-    """The same merge with every request treated as hot: ranges of 500 sequence numbers and carried maxima."""
-    return _shown(merge.merge_deliveries(t.deliveries, hot_rows=1, slice_span=500))
+    """The same merge with every request treated as hot: four ranges of sequence numbers each and carried maxima."""
+    return _shown(merge.merge_deliveries(t.deliveries, hot_rows=1, parts=4))
 
 
 @query("mrg_upsert", "select * from priced_merged")
 def mrg_upsert(t: Tables) -> DataFrame:
-    """First half merged and stored, second half merged onto it."""
-    middle = F.col("event_half")
-    halves = t.deliveries.withColumn("event_half", F.col("ts") < F.lit("2024-01-15").cast("timestamp"))
-    current = merge.merge_deliveries(halves.filter(middle).drop("event_half"))
-    incoming = halves.filter(~middle).drop("event_half")
-    changed = merge.upsert_requests(current, incoming)
-    rest = current.join(incoming.select(*merge.REQUEST).distinct(), merge.REQUEST, "left_anti")
-    return _shown(rest.unionByName(changed))
+    """First half merged into a stored table, second half merged onto it, both through the key-to-day index."""
+    table = f"{shared_dir(t.spark, 'requests')}/requests"
+    for half in (F.col("ts") < F.lit("2024-01-15").cast("timestamp"), F.col("ts") >= F.lit("2024-01-15").cast("timestamp")):
+        tables.upsert_request_table(t.spark, table, t.deliveries.filter(half))
+    return _shown(tables.KEYED["requests"].read(t.spark, table).select(*REQUESTS.names))
 
 
 _COUNTS = """select {by}, count(*) as records, count(*) filter (where not (source = 'transcript' and not wins)) as accepted,
@@ -574,7 +572,7 @@ from (select *, row_number() over (partition by workspace_id, session_id order b
   from meta_effective))""",
 )
 def mrg_meta_changes(t: Tables) -> DataFrame:
-    return merge.meta_changes(t.view("meta_records"), hot_rows=3, slice_span=700).select(WS, "session_id", "seq", "changed")
+    return merge.meta_changes(t.view("meta_records"), hot_rows=3, parts=5).select(WS, "session_id", "seq", "changed")
 
 
 @query(

@@ -148,8 +148,9 @@ def test_replay_equivalence(spark):
             assert {c: got[k][c] for c in CHECKED} == {c: row[c] for c in CHECKED}, histories[k]
 
     check(merge.merge_deliveries(df, hot_rows=None).collect())
-    # every key treated as hot, cut into slices of 15 sequence numbers
-    check(merge.merge_deliveries(df, hot_rows=1, slice_span=15).collect())
+    check(merge.merge_deliveries(df).collect())
+    # every key treated as hot, cut into four slices
+    check(merge.merge_deliveries(df, hot_rows=1, parts=4).collect())
     # incremental: first part stored, second part merged onto the stored rows
     first = merge.merge_deliveries(df.filter("seq < 30"), hot_rows=None)
     stored = spark.createDataFrame(first.collect(), REQUESTS)
@@ -161,11 +162,35 @@ def test_replay_equivalence(spark):
     assert counts == {k: d for k, (_, d) in want.items()}
 
 
+def test_replay_of_a_request_with_half_of_all_uploads_and_thousands_of_hot_ones(spark):
+    """The default way with a lower bound: one request has half of the uploads, at uneven numbers, 5,000 more are hot too."""
+    rng = random.Random(7)
+    histories = {"half": [], **{f"r{i}": [] for i in range(5_000)}}
+    for request, history in histories.items():
+        seq = 0
+        for _ in range(20_000 if request == "half" else 4):
+            seq += rng.choice([1, 1, 2, 1 << 40])
+            t = rng.random() < 0.5
+            history.append({
+                "workspace_id": "ws", "request_id": request, "seq": seq, "source": "transcript" if t else "otel", "session_id": f"s{len(history)}",
+                "ts": TS, "model": "m", "output": rng.randrange(len(history) + 2), "thinking": rng.choice([None, 3]) if t else None, "input": 1,
+                "cache_read": 0, "cache_write_5m": len(history), "cache_write_1h": 0, "device_id": rng.choice([None, "a"]), "is_subagent": False if t else None,
+                "agent_type": None, "duration_ms": None if t else rng.choice([None, seq]), "query_source": None,
+            })
+    data = [tuple(d.get(n) for n in DELIVERIES.names) for h in histories.values() for d in h]
+    df = spark.createDataFrame(data, DELIVERIES).repartition(8).cache()
+    got = {r.request_id: r for r in merge.merge_deliveries(df, hot_rows=4, parts=16).collect()}
+    assert len(got) == len(histories)
+    for request, history in histories.items():
+        want = replay(history)[0]
+        assert {c: got[request][c] for c in CHECKED} == {c: want[c] for c in CHECKED}, request
+
+
 def test_custom_title_is_never_replaced(spark):
     data = [("w", "s", 1, "gen", "ai", None), ("w", "s", 2, "mine", "custom", None), ("w", "s", 3, "gen2", "ai", "agent"),
             ("w", "s", 4, None, None, None), ("w", "s", 5, "mine2", "custom", None), ("w", "s", 6, "mine2", "custom", None)]
     df = spark.createDataFrame(data, "workspace_id string, session_id string, seq int, title string, title_source string, agent_name string")
     assert [tuple(r) for r in merge.merge_meta(df).collect()] == [("w", "s", "mine2", "custom", "agent")]
     for hot in (1, 1000):
-        changed = merge.meta_changes(df, hot_rows=hot, slice_span=2).orderBy("seq")
+        changed = merge.meta_changes(df, hot_rows=hot, parts=2).orderBy("seq")
         assert [r["changed"] for r in changed.collect()] == [True, True, True, False, True, False]

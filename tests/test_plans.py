@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from meterloom.operators import blocks, merge, parse, rollups, sessions
+from meterloom.operators import alerts, blocks, live, merge, parse, rollups, sessions
 from meterloom.schemas import DELIVERIES, REQUESTS
 
 START, NOW = datetime(2024, 1, 1), datetime(2024, 1, 31)
@@ -32,10 +32,29 @@ def test_top_n_is_cut_before_the_shuffle(spark, tmp_path):
     assert "WindowGroupLimit" in plan(sessions.costliest_requests(requests, 400))
 
 
-def test_merge_without_sketch_shuffles_once(spark, tmp_path):
+def test_merge_shuffles_ordinary_uploads_once(spark, tmp_path):
+    """The default way: the counts are a hash and a number, and whole rows of ordinary requests pass one exchange."""
     deliveries = facts(spark, tmp_path, DELIVERIES)
-    text = plan(merge.merge_deliveries(deliveries, hot_rows=None))
-    assert text.count("Exchange hashpartitioning") == 1
+    cold, _ = merge._marked_parts(merge.as_deliveries(deliveries), merge.HOT_ROWS, merge.PARTS)
+    text = plan(merge._summed(cold))
+    wide = [line for line in text.split("\n") if "Exchange hashpartitioning(workspace_id" in line]
+    assert len(wide) == 1 and text.count("Exchange hashpartitioning(") == 2
+    assert "approx_top_k" not in plan(merge.merge_deliveries(deliveries))
+
+
+def test_live_views_and_alerts_read_requests_twice(spark, tmp_path):
+    """Once for the recent hours and once for the ceilings."""
+    requests = facts(spark, tmp_path, REQUESTS)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    limits = empty("workspace_id string, id string, ts timestamp, limit_kind string")
+    workspaces = empty("id string, timezone string")
+    rules = empty("id string, workspace_id string, type string, threshold double, enabled boolean")
+    devices = empty("id string, workspace_id string, revoked_at timestamp, last_seen_at timestamp")
+    uploads = empty("workspace_id string, received_at timestamp")
+    fired = alerts.candidates(rules, workspaces, requests, limits, devices, NOW)
+    shown = live.live_view(requests, limits, uploads, workspaces, NOW)
+    for df in (fired, shown):
+        assert plan(df).count("FileScan parquet") == 2
 
 
 def test_no_python_in_batch_operators(spark, tmp_path):
