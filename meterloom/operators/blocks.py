@@ -11,6 +11,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pricing import PRICE_BOOK, model_family, with_prices
@@ -174,32 +175,78 @@ def blocks_between(requests, limits, start: datetime, end: datetime, book=PRICE_
     return found.filter(F.col("block_end") > as_ts(start))
 
 
+_US = 1_000_000
+_BIN_US = 60 * _US
+_BLOCK_US = BLOCK_HOURS * 3600 * _US
+
+
+def next_starts(instants: DataFrame) -> DataFrame:
+    """For each instant (workspace, us) the first instant at least five hours later: the block that follows one opened here.
+
+    Instants fall into bins of a minute. The answer is in the bin five hours on, found by one ordered scan of each bin, or
+    else it is the least instant of the next bin that has any; a workspace has at most 1,440 of these a day.
+    """
+    bin_of = lambda c: F.floor(c / _BIN_US).cast("long")
+    found = instants.select(WS, F.col("us").alias("at"), F.lit(None).cast("long").alias("us"))
+    probes = instants.select(WS, (F.col("us") + _BLOCK_US).alias("at"), "us")
+    # From late to early; of equal instants the found ones come first, as a probe may meet its own instant.
+    back = W.partitionBy(WS, "bin").orderBy(F.desc("at"), F.asc_nulls_first("us")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    scanned = found.unionByName(probes).withColumn("bin", bin_of(F.col("at")))
+    within = scanned.withColumn("same", F.last(F.when(F.col("us").isNull(), F.col("at")), True).over(back)).filter("us is not null")
+    firsts = instants.groupBy(WS, bin_of(F.col("us")).alias("bin")).agg(F.min("us").alias("first"))
+    asked = within.select(WS, "bin").distinct().withColumn("first", F.lit(None).cast("long"))
+    # Bins strictly later than the one asked for: its own row, if it has one, does not count.
+    after = W.partitionBy(WS).orderBy(F.desc("bin")).rangeBetween(W.unboundedPreceding, -1)
+    later = firsts.unionByName(asked).withColumn("later", F.last("first", True).over(after)).filter("first is null").select(WS, "bin", "later")
+    return within.join(later, [WS, "bin"]).select(WS, "us", F.coalesce("same", "later").alias("next"))
+
+
+def chain_starts(instants: DataFrame, firsts: DataFrame, rounds: int, folder: str) -> DataFrame:
+    """Instants reached from the first of their workspace by following ``next``: the starts of its blocks.
+
+    Pointer doubling: round r knows the jumps over 2 ** r blocks, so log2 of the number of blocks rounds reach all, each a
+    join, whatever the number of workspaces. Tables of a round are written, which cuts the lineage.
+    """
+    spark = instants.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    links = kept(next_starts(instants).filter("next is not null"), "links")
+    # No chain passes through an instant that nothing leads to.
+    led = links.select(WS, F.col("next").alias("us")).union(firsts).distinct()
+    jumps = kept(links.join(led, [WS, "us"], "left_semi"), "jump-0")
+    reached = firsts
+    for r in range(rounds):
+        reached = kept(reached.union(reached.join(jumps, [WS, "us"]).select(WS, "next")), f"reached-{r}")
+        further = jumps.select(WS, F.col("us").alias("next"), F.col("next").alias("beyond"))
+        jumps = kept(jumps.join(further, [WS, "next"]).select(WS, "us", F.col("beyond").alias("next")), f"jump-{r + 1}")
+        if jumps.isEmpty():
+            break
+    return reached
+
+
 def exact_start_blocks(
     requests: DataFrame, limits: DataFrame, start: datetime, end: datetime, folder: str | None = None
 ) -> DataFrame:
     """Variant whose blocks start at the first event itself instead of the full hour.
 
-    Borders now hang on single events, so the chain is followed slice by slice. A five-hour slice opens at
-    most one block per workspace: the first event not covered by the block opened in the slice before. Each
-    step reads only its own slice of the fact tables, takes a (partially aggregated) minimum per workspace
-    and writes one small row per workspace, which also cuts the lineage.
+    Borders now hang on single events. Each distinct instant points to the one at which the next block would open; the
+    starts are those on the way from the first instant of the workspace, found by pointer doubling.
     """
     spark = requests.sparkSession
     folder = folder or shared_dir(spark, "block-starts")
-    length = timedelta(hours=BLOCK_HOURS)
-    events = requests.select(WS, "ts").unionByName(limits.select(WS, "ts"))
-    before, step, at = None, 0, start
-    while at < end:
-        found = events.filter(in_range(at, min(at + length, end)))
-        if before is not None:
-            found = found.join(before, WS, "left").filter(
-                F.col("start_ts").isNull() | (F.col("ts") >= F.col("start_ts") + F.lit(length))
-            )
-        opened = found.groupBy(WS).agg(F.min("ts").alias("start_ts"))
-        opened.write.mode("overwrite").parquet(f"{folder}/slice={step}")
-        before = spark.read.schema(opened.schema).parquet(f"{folder}/slice={step}")
-        step, at = step + 1, at + length
-    starts = spark.read.schema(f"{WS} string, start_ts timestamp, slice int").parquet(folder)
+    events = requests.select(WS, "ts").unionByName(limits.select(WS, "ts")).filter(in_range(start, end))
+    instants = events.select(WS, F.unix_micros("ts").alias("us")).distinct()
+    instants.write.mode("overwrite").parquet(f"{folder}/instants")
+    instants = spark.read.schema(instants.schema).parquet(f"{folder}/instants")
+    firsts = instants.groupBy(WS).agg(F.min("us").alias("us"))
+    most = max(int((end - start).total_seconds() * _US // _BLOCK_US), 1) + 1
+    found = chain_starts(instants, firsts, most.bit_length(), folder)
+    offset = (F.col("us") - F.unix_micros(as_ts(start))) / _BLOCK_US
+    # Starts are five hours apart, so a slice of five hours holds at most one of a workspace.
+    starts = found.select(WS, F.timestamp_micros("us").alias("start_ts"), F.floor(offset).cast("int").alias("slice"))
     own = starts.withColumnRenamed("start_ts", "own")
     earlier = starts.select(WS, (F.col("slice") + 1).alias("slice"), F.col("start_ts").alias("earlier"))
     offset = (F.unix_micros("ts") - F.unix_micros(as_ts(start))) / (BLOCK_HOURS * 3_600_000_000)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -497,10 +498,10 @@ def mrg_sliced(t: Tables) -> DataFrame:
 @query("mrg_upsert", "select * from priced_merged")
 def mrg_upsert(t: Tables) -> DataFrame:
     """First half merged into a stored table, second half merged onto it, both through the key-to-day index."""
-    table = f"{shared_dir(t.spark, 'requests')}/requests"
+    path, kind = f"{shared_dir(t.spark, 'requests')}/requests", replace(tables.KEYED["requests"], buckets=2)
     for half in (F.col("ts") < F.lit("2024-01-15").cast("timestamp"), F.col("ts") >= F.lit("2024-01-15").cast("timestamp")):
-        tables.upsert_request_table(t.spark, table, t.deliveries.filter(half))
-    return _shown(tables.KEYED["requests"].read(t.spark, table).select(*REQUESTS.names))
+        tables.upsert_request_table(t.spark, path, t.deliveries.filter(half), kind)
+    return _shown(kind.read(t.spark, path).select(*REQUESTS.names))
 
 
 _COUNTS = """select {by}, count(*) as records, count(*) filter (where not (source = 'transcript' and not wins)) as accepted,

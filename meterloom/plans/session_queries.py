@@ -294,6 +294,29 @@ def _ceilings(t: Tables) -> DataFrame:
     return blocks.learned_ceiling(t.requests, t.limits, NOW)
 
 
+cte(
+    "exact_chain",
+    """select workspace_id, unnest(list_reduce(list_prepend([]::bigint[], list_transform(us, lambda x: [x])),
+    lambda acc, x: case when len(acc) = 0 or x[1] >= acc[len(acc)] + 18000000000 then list_concat(acc, x) else acc end)) as s
+from (select workspace_id, list(distinct u order by u) as us from (
+  select workspace_id, epoch_us(ts) as u from requests where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'
+  union all select workspace_id, epoch_us(ts) from limit_events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31') group by 1)""",
+)
+
+
+@query(
+    "blk_exact_starts",
+    """select c.workspace_id, make_timestamp(c.s) as block_start, count(*) filter (where not hit) as requests,
+  round(sum(value), 7) as value, count(*) filter (where hit) as limits, min(ts) as first_ts, max(ts) as last_ts
+from exact_chain c join (
+  select workspace_id, ts, value_usd as value, false as hit from requests where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'
+  union all select workspace_id, ts, 0, true from limit_events where ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31') e
+  on e.workspace_id = c.workspace_id and epoch_us(e.ts) >= c.s and epoch_us(e.ts) < c.s + 18000000000 group by 1, 2""",
+)
+def blk_exact_starts(t: Tables) -> DataFrame:
+    return blocks.exact_start_blocks(t.requests, t.limits, START, NOW)
+
+
 @query("blk_blocks", f"select {_BLOCK_COLUMNS} from month_found")
 def blk_blocks(t: Tables) -> DataFrame:
     return _month(t).drop("last_limit")

@@ -34,7 +34,7 @@ from ..session import shared_dir
 
 DAY = "day"
 BUCKET = "bucket"
-BUCKETS = 64
+BUCKETS = 16  # of a day; a table keeps the number it was begun with
 
 
 def _laid_out(df: DataFrame, ts: str) -> DataFrame:
@@ -120,6 +120,7 @@ class Keyed:
     schema: T.StructType
     fold: Callable[[DataFrame, DataFrame], DataFrame]
     ts: str | None = None  # the clock that places a row in a day
+    buckets: int = BUCKETS
 
     @property
     def folders(self) -> list[str]:
@@ -130,7 +131,7 @@ class Keyed:
         return out.withColumn(DAY, F.to_date(self.ts)) if self.ts else out
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
     def read(self, spark: SparkSession, path: str) -> DataFrame:
         kinds = {DAY: T.DateType(), BUCKET: T.IntegerType()}
@@ -199,7 +200,7 @@ class Staged:
 
 def folders_of(spark: SparkSession, table: Keyed, path: str, touched: DataFrame) -> list[tuple]:
     """Folders that may hold stored rows of the touched keys, found in the index of their buckets."""
-    # At most BUCKETS values, then at most one folder per day and bucket.
+    # At most one value per bucket, then at most one folder per day and bucket.
     buckets = [r[0] for r in touched.select(BUCKET).distinct().collect()]
     if not table.ts:
         return [(b,) for b in buckets]
@@ -258,14 +259,14 @@ def apply_upsert(spark: SparkSession, change: Staged) -> None:
             remove(spark, f"{path}/{folder}")
 
 
-def upsert_request_table(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+def upsert_request_table(spark: SparkSession, path: str, incoming: DataFrame, table: Keyed = KEYED["requests"]) -> None:
     """Merge new deliveries into the stored request table.
 
     Only folders that hold touched requests are read and rewritten. Their new content is staged in full first and then
     swapped in, so a lost executor or a repeated call leaves the same table.
     """
     at = shared_dir(spark, "upsert")
-    apply_upsert(spark, stage_upsert(spark, KEYED["requests"], path, incoming, at))
+    apply_upsert(spark, stage_upsert(spark, table, path, incoming, at))
     remove(spark, at)
 
 
