@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ordered import running_totals
@@ -13,20 +14,44 @@ from .rollups import WS, filtered, search_requests, top_n, value_of
 SESSION = [WS, "session_id"]
 
 
+_MODES = ("project", "entrypoint", "git_branch", "device_id")
+_MEASURES = ("value", "subagent_value", "input", "output", "cache_read", "cache_write")
+
+
 def session_rollup(requests: DataFrame) -> DataFrame:
-    """One row per session; text fields take their most frequent value (ties: the smallest)."""
-    return requests.groupBy(*SESSION).agg(
+    """One row per session; text fields take their most frequent value (ties: the smallest).
+
+    Requests collapse to the combinations of text fields that a session has, which are dealt by session. There, values are
+    counted per field and ranked, so no buffer holds the values of a session; its models are the values of one field.
+    """
+    combined = requests.groupBy(*SESSION, "model", *_MODES).agg(
         F.min("ts").alias("started"),
         F.max("ts").alias("ended"),
-        F.count(F.lit(1)).alias("requests"),
+        F.count(F.lit(1)).alias("n"),
         F.sum("value_usd").alias("value"),
         value_of(F.col("is_subagent")).alias("subagent_value"),
         F.sum("input").alias("input"),
         F.sum("output").alias("output"),
         F.sum("cache_read").alias("cache_read"),
         F.sum(F.col("cache_write_5m") + F.col("cache_write_1h")).alias("cache_write"),
-        F.array_sort(F.collect_set("model")).alias("models"),
-        *[F.mode(c, True).alias(c) for c in ("project", "entrypoint", "git_branch", "device_id")],
+    )
+    fields = F.explode(F.create_map(*[c for name in ("model", *_MODES) for c in (F.lit(name), F.col(name))]))
+    apart = combined.repartition(*SESSION).select("*", fields.alias("field", "name"))
+    # Every combination has one row per field; its sums count in the one of the model.
+    is_model = F.col("field") == "model"
+    counted = apart.groupBy(*SESSION, "field", "name").agg(
+        F.sum("n").alias("n"), F.min("started").alias("started"), F.max("ended").alias("ended"),
+        *[F.sum(F.when(is_model, F.col(m))).alias(m) for m in _MEASURES],
+    )
+    common = W.partitionBy(*SESSION, "field").orderBy(F.col("name").isNull(), F.desc("n"), "name")
+    ranked = counted.withColumn("place", F.row_number().over(common))
+    return ranked.groupBy(*SESSION).agg(
+        F.min("started").alias("started"),
+        F.max("ended").alias("ended"),
+        F.sum(F.when(is_model, F.col("n"))).alias("requests"),
+        *[F.sum(m).alias(m) for m in _MEASURES],
+        F.array_sort(F.collect_list(F.when(is_model, F.col("name")))).alias("models"),
+        *[F.max(F.when((F.col("field") == c) & (F.col("place") == 1), F.col("name"))).alias(c) for c in _MODES],
     )
 
 
