@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 _BUCKETS_PER_E = 256
 _PARTS = 4096
 _ZERO_GAP = 1_000_000  # keeps log-scale buckets of tiny magnitudes on the right side of zero
@@ -39,12 +41,16 @@ def wanted(quantiles: Mapping[str, float], low, high, first: str, end: str) -> C
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], count: str = "n"
 ) -> DataFrame:
-    """One row per group: ``count`` of non-null values and each linearly interpolated quantile."""
-    distinct = (
+    """One row per group: ``count`` of non-null values and each linearly interpolated quantile.
+
+    ``df`` is read once: its distinct values with their counts are written down, and all levels read that table.
+    """
+    distinct = written(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", _bucket(F.col("_v")))
+        .withColumn("_b", _bucket(F.col("_v"))),
+        "quantiles",
     )
     histogram = distinct.groupBy(*keys, "_b").agg(
         F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")

@@ -402,12 +402,22 @@ def period_delta(current: Column, previous: Column) -> Column:
 
 
 def totals_delta(requests, workspaces, start, end, prev_start, prev_end, book=PRICE_BOOK) -> DataFrame:
-    """Totals of a range beside those of the period before it."""
-    cur = totals(requests, workspaces, start, end, book)
-    prev = totals(requests, workspaces, prev_start, prev_end, book)
+    """Totals of a range beside those of the period before it, from one pass: requests collapse to sessions with sums of
+    either period, so no session is told apart twice."""
+    periods = {"": in_range(start, end), "prev_": in_range(prev_start, prev_end)}
+    used = requests.filter(periods[""] | periods["prev_"])
+    by_session = used.groupBy(WS, "session_id").agg(
+        *[F.sum(F.when(inside, F.col("value_usd"))).alias(f"{p}value") for p, inside in periods.items()],
+        *[F.count_if(inside).alias(f"{p}requests") for p, inside in periods.items()],
+    )
     names = ("value", "sessions", "requests")
-    joined = cur.select(WS, *names).join(
-        prev.select(WS, *[F.col(c).alias(f"prev_{c}") for c in names]), WS, "left"
+    joined = every_workspace(
+        by_session.groupBy(WS).agg(
+            *[F.sum(f"{p}value").alias(f"{p}value") for p in periods],
+            *[F.count_if(F.col(f"{p}requests") > 0).alias(f"{p}sessions") for p in periods],
+            *[F.sum(f"{p}requests").alias(f"{p}requests") for p in periods],
+        ),
+        workspaces,
     )
     return joined.select(
         WS, *names,

@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Needed on every session: wall-clock maths assumes UTC, attribute maps keep the last value.
 ENGINE_CONF = {
@@ -79,3 +79,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` from a table in the shared folder: computed once, whatever reads them, and safe from lost executors."""
+    folder = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
