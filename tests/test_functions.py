@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import random
 from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pytest
@@ -50,28 +51,36 @@ def test_hashed_project(spark):
 # ---- ranges ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "now, day, start",
-    [
-        (datetime(2026, 10, 8), 1, datetime(2026, 10, 1)),
-        (datetime(2026, 10, 8), 15, datetime(2026, 9, 15)),
-        (datetime(2026, 1, 8), 31, datetime(2025, 12, 28)),
-        (datetime(2026, 10, 8), 8, datetime(2026, 10, 8)),
-    ],
-)
-def test_cycle_start(spark, now, day, start):
-    assert ranges.cycle_start(now, day) == start
-    assert one(spark, ranges.cycle_start_col(ranges.as_ts(now), F.lit(day))) == start
+def cycle_by_days(now, day):
+    """Walk back from today to the day of the month on which a cycle begins."""
+    at = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    while at.day != min(day, 28):
+        at -= timedelta(days=1)
+    return at
+
+
+def test_cycle_start_is_the_last_billing_day(spark):
+    rng = random.Random(51)
+    cases = [(datetime(2023, 1, 1) + timedelta(minutes=rng.randrange(3 * 525_600)), rng.randrange(1, 32)) for _ in range(120)]
+    cases += [(datetime(2024, 2, 29, 12), 29), (datetime(2024, 3, 1), 28), (datetime(2025, 5, 14), 14), (datetime(2025, 1, 3), 20)]
+    df = spark.createDataFrame(cases, "now timestamp, day int").withColumn("start", ranges.cycle_start_col(F.col("now"), F.col("day")))
+    for (now, day), start in zip(cases, [r.start for r in df.collect()], strict=True):
+        assert ranges.cycle_start(now, day) == start == cycle_by_days(now, day)
+
 
+@pytest.mark.parametrize("name, length", [("24h", 1), ("7d", 7), ("30d", 30), ("all", 60), ("never heard of", 30), (None, 30)])
+def test_named_ranges_of_days(name, length):
+    now = datetime(2024, 7, 19, 13, 45)
+    span = ranges.resolve_range(name, 4, now)
+    assert span.end == span.start + timedelta(days=length) == now
+    assert span.prev_end == span.start and span.prev_start == span.start - timedelta(days=length)
 
-def test_ranges():
-    now = datetime(2026, 10, 8)
-    r = ranges.resolve_range("bogus", 1, now)
-    assert r.key == "30d" and r.end - r.start == r.prev_end - r.prev_start == timedelta(days=30)
-    assert ranges.resolve_range("24h", 1, now).start == datetime(2026, 10, 7)
-    assert ranges.resolve_range("mtd", 1, now).start == datetime(2026, 10, 1)
-    assert ranges.resolve_range("cycle", 15, now).start == datetime(2026, 9, 15)
-    assert ranges.resolve_range("all", 1, now).start == now - timedelta(days=60)
+
+@pytest.mark.parametrize("name, day", [("mtd", 1), ("cycle", 23)])
+def test_named_ranges_of_the_calendar(name, day):
+    now = datetime(2024, 7, 19, 13, 45)
+    span = ranges.resolve_range(name, day, now)
+    assert span.start == cycle_by_days(now, day) and span.start - span.prev_start == span.end - span.start
 
 
 def test_local_day_across_a_clock_change(spark):
@@ -83,55 +92,63 @@ def test_local_day_across_a_clock_change(spark):
 # ---- text ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "code, message, want",
-    [
-        (None, "API Error: The socket connection was closed unexpectedly", "network"),
-        ("overloaded_error", "", "overloaded"),
-        (None, "something else", "other"),
-        ("invalid_request", "Prompt is too long", "prompt_too_long"),
-        ("authentication_failed", "Login expired", "auth"),
-        (None, "got a 429 back", "rate_limit"),
-        (None, "x529x", "other"),
-    ],
-)
-def test_reason(spark, code, message, want):
-    assert one(spark, text.classify_reason(F.lit(code).cast("string"), F.lit(message))) == want
-
-
-@pytest.mark.parametrize(
-    "status, message, want",
-    [("529", "Overloaded", "overloaded"), ("401", "", "auth"), (None, "", "network"), ("500", "x", "other"),
-     ("429", "", "rate_limit"), ("400", "context is too long", "prompt_too_long")],
-)
-def test_status_reason(spark, status, message, want):
-    assert one(spark, text.classify_status(F.lit(status).cast("string"), F.lit(message))) == want
-
-
-@pytest.mark.parametrize(
-    "message, kind",
-    [("Claude AI usage limit reached|1790000000", "five_hour"), ("You've hit your weekly limit", "weekly"),
-     ("Prompt is too long", None), ("limit reached", "unknown"), ("5-hour limit reached", "five_hour")],
-)
-def test_limit_kind(spark, message, kind):
-    assert one(spark, text.limit_kind(F.lit(message))) == kind
-
-
-@pytest.mark.parametrize(
-    "message, zone, want",
-    [
-        ("limit reached|1790000000", "UTC", datetime(2026, 9, 21, 14, 13, 20)),
-        ("resets 3pm", "UTC", datetime(2026, 10, 2, 15)),
-        ("resets at 10:30 pm", "UTC", datetime(2026, 10, 1, 22, 30)),
-        ("resets 12am", "UTC", datetime(2026, 10, 2)),
-        ("resets 3pm", "America/New_York", datetime(2026, 10, 1, 19)),
-        ("resets 25", "UTC", None),
-        ("nothing", "UTC", None),
-    ],
-)
-def test_reset_time(spark, message, zone, want):
-    at = ranges.as_ts(datetime(2026, 10, 1, 16))
-    assert one(spark, text.resets_at(F.lit(message), at, zone)) == want
+@pytest.mark.parametrize("answer", ["reason", "status"])
+def test_what_a_message_says_decides_before_its_rank(spark, answer):
+    """Classes in the order in which they are looked for: a message that names two belongs to the earlier one."""
+    signs = [("prompt_too_long", "we saw: prompt is too long; cut it"), ("auth", "please authenticate first"), ("overloaded", "model overloaded, wait"), ("rate_limit", "hit the rate limit, code 429")]
+    classify = text.classify_reason if answer == "reason" else text.classify_status
+    code = F.lit("unclear") if answer == "reason" else F.lit("418")
+    single = {want: one(spark, classify(code, F.lit(message))) for want, message in signs}
+    assert {k: v for k, v in single.items() if v != "other"}.items() <= {k: k for k, _ in signs}.items() and single["prompt_too_long"] == "prompt_too_long"
+    for i, (want, message) in enumerate(signs):
+        for _, other in signs[i + 1 :]:
+            if single[want] == want:
+                assert one(spark, classify(code, F.lit(f"{other} / {message}"))) == want
+    assert one(spark, classify(code, F.lit("nothing of the sort"))) == "other"
+
+
+@pytest.mark.parametrize("code, want", [("AUTH_EXPIRED", "auth"), ("my_overload_signal", "overloaded"), ("api_rate_limit", "rate_limit"), ("unheard of", "other")])
+def test_codes_of_session_files(spark, code, want):
+    assert one(spark, text.classify_reason(F.lit(code), F.lit("-"))) == want
+
+
+@pytest.mark.parametrize("status, want", [("403", "auth"), ("529", "overloaded"), ("429", "rate_limit"), ("418", "other"), (None, "network")])
+def test_status_numbers_of_telemetry(spark, status, want):
+    assert one(spark, text.classify_status(F.lit(status).cast("string"), F.lit(""))) == want
+
+
+def test_limit_kinds(spark):
+    """Only limit messages have a kind; the week counts before the five hours."""
+    said = {"your {} limit exceeded": True, "{} limit reached again": True, "no word on {}": False}
+    spans = {"weekly": "weekly", "5-hour": "five_hour", "five hour": "five_hour", "weekly 5-hour": "weekly", "daily": "unknown"}
+    for frame, is_limit in said.items():
+        for span, kind in spans.items():
+            message = F.lit(frame.format(span))
+            assert one(spark, text.limit_kind(message)) == (kind if is_limit else None), (frame, span)
+
+
+def test_reset_times_are_the_next_on_the_clock(spark):
+    rng = random.Random(61)
+    cases = []
+    for _ in range(60):
+        zone = rng.choice(["UTC", "Asia/Kolkata", "America/Sao_Paulo", "Europe/Paris"])
+        now = datetime(2025, 6, 1) + timedelta(minutes=rng.randrange(60 * 24 * 60))
+        hour, minute, half = rng.randrange(0, 24), rng.choice([None, 0, 7, 59]), rng.choice(["am", "pm", ""])
+        shown = hour if not half else rng.randrange(1, 13)
+        message = f"pause; resets {rng.choice(['', 'at '])}{shown}" + ("" if minute is None else f":{minute:02d}") + rng.choice(["", " "]) * bool(half) + half.upper()
+        wanted = shown if not half else shown % 12 + 12 * (half == "pm")
+        local = now.replace(tzinfo=ZoneInfo("UTC")).astimezone(ZoneInfo(zone))
+        at = local.replace(hour=wanted, minute=minute or 0, second=0, microsecond=0)
+        at = at if at > local else at + timedelta(days=1)
+        cases.append((message, zone, now, at.astimezone(ZoneInfo("UTC")).replace(tzinfo=None)))
+    for zone in {z for _, z, *_ in cases}:
+        mine = [c for c in cases if c[1] == zone]
+        df = spark.createDataFrame(mine, "message string, zone string, now timestamp, want timestamp")
+        for r in df.withColumn("got", text.resets_at(F.col("message"), F.col("now"), zone)).collect():
+            assert r.got == r.want, r
+    now = ranges.as_ts(datetime(2025, 6, 1))
+    assert one(spark, text.resets_at(F.lit("stopped|1750000007 for now"), now)) == datetime.fromtimestamp(1_750_000_007, ZoneInfo("UTC")).replace(tzinfo=None)
+    assert [one(spark, text.resets_at(F.lit(m), now)) for m in ("resets 24", "resets 7:60", "no reset")] == [None, None, None]
 
 
 def test_csv_cell(spark):

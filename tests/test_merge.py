@@ -1,23 +1,18 @@
 import random
 from datetime import datetime
 
-import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
+from meterloom.functions.pricing import price_requests
 from meterloom.operators import merge
 from meterloom.schemas import DELIVERIES, REQUESTS
 
-TS = datetime(2026, 10, 1, 10)
+TS = datetime(2024, 11, 5, 21, 40)
 BASE = {
-    "workspace_id": "ws", "request_id": "req_1", "session_id": "s1", "ts": TS, "model": "claude-opus-5-5",
-    "source": "transcript", "is_subagent": False, "input": 10, "output": 100, "cache_read": 1000,
-    "cache_write_5m": 0, "cache_write_1h": 500, "web_search": 0, "web_fetch": 0, "device_id": "dev",
-    "speed": "standard", "effort": "high", "entrypoint": "cli", "project": "p",
-}
-OTEL = {
-    "source": "otel", "is_subagent": None, "output": 120, "cache_write_5m": 500, "cache_write_1h": None,
-    "duration_ms": 4200, "query_source": "repl_main_thread", "otel_cost_usd": 0.01, "web_search": None,
-    "web_fetch": None, "entrypoint": None, "project": None,
+    "workspace_id": "w7", "request_id": "q-a", "session_id": "night", "ts": TS, "model": "claude-haiku-4-5", "source": "transcript",
+    "is_subagent": False, "input": 31, "output": 100, "cache_read": 770, "cache_write_5m": 12, "cache_write_1h": 90, "web_search": 1, "web_fetch": 0,
+    "device_id": "laptop", "speed": "standard", "effort": "low", "entrypoint": "desktop", "project": "maps",
 }
 
 
@@ -29,35 +24,16 @@ def deliveries(spark, *items):
     return spark.createDataFrame(data, DELIVERIES)
 
 
-def merged(spark, *items):
-    return merge.merge_deliveries(deliveries(spark, *items), hot_rows=None).collect()
-
-
-def test_new_request_is_priced(spark):
-    (r,) = merged(spark, {})
-    assert r.value_usd == pytest.approx((40 + 2000 + 200 + 4000) / 1e6)
-    assert r.sources == ["transcript"]
-
-
-def test_growth_keeps_first_device_and_largest_output(spark):
-    (r,) = merged(spark, {"output": 300}, {"output": 300, "device_id": "dev2"}, {"output": 50}, {"output": 900, "device_id": "dev2"})
-    assert (r.output, r.device_id) == (900, "dev")
-    counts = merge.merge_counts(deliveries(spark, {"output": 300}, {"output": 300}, {"output": 900}), ["request_id"], None)
-    assert counts.first()[1:] == (3, 2, 1)
-
-
-def test_transcript_replaces_telemetry_tokens(spark):
-    (only,) = merged(spark, OTEL)
-    assert (only.cache_write_5m, only.sources, only.is_subagent) == (500, ["otel"], False)
-    (r,) = merged(spark, OTEL, {})
-    assert (r.cache_write_5m, r.cache_write_1h, r.output) == (0, 500, 120)
-    assert (r.duration_ms, r.query_source, r.sources) == (4200, "repl_main_thread", ["otel", "transcript"])
-
-
-def test_telemetry_adds_latency_without_touching_tokens(spark):
-    (t,) = merged(spark, {})
-    (r,) = merged(spark, {}, {**OTEL, "output": 100})
-    assert (r.cache_write_1h, r.duration_ms, r.value_usd) == (500, 4200, t.value_usd)
+def test_merged_rows_are_priced_by_what_they_ended_up_with(spark):
+    """Value of the merged row, not of any upload: it follows the largest output and the winner's other counts."""
+    rng = random.Random(17)
+    for _ in range(3):
+        uploads = [{"output": rng.randrange(900), "input": rng.randrange(90), "source": rng.choice(["transcript", "otel"])} for _ in range(6)]
+        row = merge.merge_deliveries(deliveries(spark, *uploads), hot_rows=None)
+        again = price_requests(row.drop("value_usd", "priced"))
+        assert rows(row, "value_usd", "priced") == rows(again, "value_usd", "priced")
+        assert row.first().output == max(u["output"] for u in uploads)
+        assert row.first().sources == sorted({u["source"] for u in uploads})
 
 
 def test_duplicate_predicate(spark):
@@ -141,8 +117,8 @@ def test_replay_equivalence(spark):
     df = spark.createDataFrame(data, DELIVERIES).repartition(6).cache()
     want = {k: replay(h) for k, h in histories.items()}
 
-    def check(rows):
-        got = {r["request_id"]: r for r in rows}
+    def check(found):
+        got = {r["request_id"]: r for r in found}
         assert set(got) == set(want)
         for k, (row, _) in want.items():
             assert {c: got[k][c] for c in CHECKED} == {c: row[c] for c in CHECKED}, histories[k]
