@@ -8,6 +8,9 @@ compared exhaustively, by sketches of ``BINS`` bytes. A larger one is only compa
 and branched. ``ROOTS`` trees leave a link at the threshold unseen with a probability of about
 ``(1 - 0.75) ** ROOTS`` if its nodes are leaves, and BRANCHES of 2 lose about 6 % of it per further level and tree.
 
+Of a leaf's likely pairs those go first that span it, fewer than it has members, so a group of near copies costs as many
+pairs as it has members. Where one of them proves to be no link, all likely pairs of what is left apart are looked at.
+
 Found pairs pass three checks: sizes, agreement of the sketches (a link at the threshold fails it once in about 300,000
 cases), and the similarity of the full sets, which alone decides. Links are joined to components after the first pivots
 and after each level, and nodes whose members are all of one component are done: a large group of copies is settled by
@@ -200,16 +203,22 @@ def _starred(live: DataFrame, reps: DataFrame) -> DataFrame:
     return with_b.where(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, share double")
 
 
-def _compared(live: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components inside each node, whose sizes and sketches allow the threshold.
+def _compared(live: DataFrame, reps: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b, share) of different components inside each node, whose sizes and sketches allow the threshold.
 
-    A node's members come together in one task, where their sketches are compared in blocks; only likely pairs leave it.
+    A node's members come together in one task, where their sketches are compared in blocks; only likely pairs leave it. With
+    ``spanning``, of those the most alike that still join two groups of the node, fewer than it has members; nodes that keep
+    other likely pairs back are named in rows of their own (node), to be compared again if these pairs leave them mixed.
     """
     full = live.select("node", "uid", "own").join(reps.select("uid", "n", "sketch"), "uid").repartition("node").sortWithinPartitions("node", "uid")
 
-    def near(uid: np.ndarray, own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(uid), BLOCK):
-            for other in range(at, len(uid), BLOCK):
+    names = ["a", "b", "share", "node"]
+
+    def likely_pairs(own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places and shares, a strip of BLOCK members against all later ones at a time."""
+        for at in range(0, len(n), BLOCK):
+            strip = [], [], []
+            for other in range(at, len(n), BLOCK):
                 i, j = slice(at, at + BLOCK), slice(other, other + BLOCK)
                 ok = (own[i, None] != own[None, j]) & (100 * np.minimum(n[i, None], n[None, j]) >= 75 * np.maximum(n[i, None], n[None, j]))
                 if at == other:
@@ -219,8 +228,35 @@ def _compared(live: DataFrame, reps: DataFrame) -> DataFrame:
                 for k in range(0, len(x), 8_000):
                     a, b = x[k : k + 8_000], y[k : k + 8_000]
                     hit, share = likely(sig[a], sig[b], n[a] + n[b])
-                    if hit.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(uid[a[hit]]), pa.array(uid[b[hit]]), pa.array(share[hit])], ["a", "b", "share"])
+                    for part, found in zip(strip, (a, b, share), strict=True):
+                        part.append(found[hit])
+            if strip[0] and sum(map(len, strip[0])):
+                yield tuple(np.concatenate(part) for part in strip)
+
+    def near(node: int, uid: np.ndarray, own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nothing = lambda count: pa.nulls(count, pa.int64())
+        group, kept_back = np.unique(own, return_inverse=True)[1].tolist(), False
+        parent = list(range(max(group) + 1))
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        for a, b, share in likely_pairs(own, n, sig):
+            if spanning:
+                chosen = []
+                for k in np.argsort(-share, kind="stable").tolist():
+                    g, h = root(group[a[k]]), root(group[b[k]])
+                    if g != h:
+                        parent[g] = h
+                        chosen.append(k)
+                kept_back |= len(chosen) < len(a)
+                a, b, share = a[chosen], b[chosen], share[chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b]), pa.array(share), nothing(len(a))], names)
+        if kept_back:
+            yield pa.RecordBatch.from_arrays([nothing(1), nothing(1), pa.nulls(1, pa.float64()), pa.array([node])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -233,13 +269,13 @@ def _compared(live: DataFrame, reps: DataFrame) -> DataFrame:
                 edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     if held and held[0][0][0] != node[lo]:
-                        yield from near(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
+                        yield from near(int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
                         held = []
                     held.append((node[lo:hi], *(c[lo:hi] for c in columns)))
         if held:
-            yield from near(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
+            yield from near(int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
 
-    return full.select("node", "uid", "own", "n", "sketch").mapInArrow(run, "a long, b long, share double").distinct()
+    return full.select("node", "uid", "own", "n", "sketch").mapInArrow(run, "a long, b long, share double, node long")
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -297,18 +333,31 @@ def _walked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     walk = _Walk(docs, reps)
     # The first pivots settle groups of copies, so that the leaves need not compare them.
     walk.confirm(_starred(_mixed(members, None), reps))
+    open_nodes = None
     for level in range(LEVELS + 1):
         live = stored(_mixed(members, walk.labels), "live")
         if live.isEmpty():
             break
         small, large = live.where("small"), live.where("not small")
-        walk.confirm(_compared(small if level < LEVELS else live, reps).unionByName(_starred(large, reps)).distinct())
+        leaves = small if level < LEVELS else live
+        compared = stored(_compared(leaves, reps, True), "compared")
+        pairs = compared.where("a is not null").drop("node").unionByName(_starred(large, reps))
+        walk.confirm((pairs if open_nodes is None else pairs.unionByName(_left_apart(open_nodes, walk, reps))).distinct())
+        # Nodes that kept pairs back are looked at again with the next level's, if the chosen pairs have not joined them.
+        open_nodes = leaves.select("node", "uid").join(compared.where("node is not null").select("node"), "node", "left_semi")
         # Large nodes that still hold several components go one level down.
         large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
         members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
+    if open_nodes is not None:
+        walk.confirm(_left_apart(open_nodes, walk, reps).distinct())
     return sets, firsts, walk.labels
 
 
+def _left_apart(nodes: DataFrame, walk: _Walk, reps: DataFrame) -> DataFrame:
+    """All likely pairs of what is still apart in nodes whose spanning pairs have been confirmed or refused."""
+    return _compared(_mixed(nodes, walk.labels), reps, False).drop("node")
+
+
 class _Walk:
     """Components so far, pairs that were compared, and the texts read for them."""
 

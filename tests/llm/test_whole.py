@@ -1,8 +1,10 @@
 """Cases in which the operators once did less than the whole job."""
 
+import random
+
 import pytest
 
-from meterloom.llm import licenses, pii, suffixtree, winnow
+from meterloom.llm import licenses, minhash, pii, suffixtree, winnow
 
 NOTICES = {
     "permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
@@ -75,3 +77,44 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     got = corpus_pipeline.distinct(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(0, ""), (7, a), (0, b), (3, "")])
+
+
+def test_near_copies_cost_as_many_pairs_as_there_are_copies(spark):
+    """200 near copies in one node: the spanning pairs join them all, the full look would ship all 19,900."""
+    words = [f"w{i}" for i in range(120)]
+    texts = [(i, " ".join(words[:60] + [f"own{i}"] + words[60:])) for i in range(200)]
+    sets = minhash.prepared(spark.createDataFrame(texts, "doc_id long, text string")).cache()
+    live = sets.selectExpr("1L as node", "uid", "uid as own")
+    spanning = minhash._compared(live, sets, True).cache()
+    assert spanning.where("a is not null").count() == 199 and spanning.where("node = 1").count() == 1
+    assert minhash._compared(live, sets, False).count() == 199 * 100
+    got = minhash.clusters(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_pairs_kept_back_are_not_lost(spark):
+    """Where a spanning pair looks likely and is no link, the pairs behind it are still compared: equal to all pairs."""
+    draw = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(120):  # likenesses around the threshold, on both sides
+        words = list(base)
+        for at in draw.sample(range(400), draw.randrange(1, 16)):
+            words[at] = f"x{draw.randrange(30)}"
+        texts.append((i, " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in texts for w in [t.split()]]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in minhash.clusters(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) > 1
