@@ -333,7 +333,8 @@ def src_batches(t: Tables) -> DataFrame:
     docs = wire.upload_batches(t)
     header = validate.batch_reason(batches.batch_headers(docs)).select("batch_id", "reason")
     n = batches.batch_records(docs).groupBy("batch_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(header, "batch_id")
+    # Both sides have a row per batch, however small the planner takes parsed text for, so neither may be broadcast.
+    return n.join(header.hint("merge"), "batch_id")
 
 
 @query(

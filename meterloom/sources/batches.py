@@ -18,11 +18,13 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 def batch_headers(batches: DataFrame) -> DataFrame:
     """Header fields of each batch; other columns of ``batches`` pass through."""
     context = [c for c in batches.columns if c != "body"]
-    v = F.try_parse_json("body")
+    # The object comes out of a generator, so a body is parsed once, not once per field.
+    whole = batches.select(*context, F.explode(F.array(F.try_parse_json("body"))).alias("v"))
+    v = F.col("v")
     unknown = F.try_variant_get(raw(v, "$.parser.unknownTypes"), "$", "map<string,bigint>")
     versions = F.try_variant_get(v, "$.device.ccVersions", "array<string>")
     records = F.try_variant_get(v, "$.records", "array<variant>")
-    return batches.select(
+    return whole.select(
         *context,
         count(v, "$.schemaVersion").alias("schema_version"),
         text(v, "$.accountHash").alias("account_hash"),

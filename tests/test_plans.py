@@ -5,7 +5,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from meterloom.operators import alerts, blocks, live, merge, parse, rollups, sessions
+from meterloom.plans import catalog, registry  # noqa: F401  (the catalog registers the queries)
 from meterloom.schemas import DELIVERIES, REQUESTS
+from meterloom.sources import batches
 
 START, NOW = datetime(2024, 1, 1), datetime(2024, 1, 31)
 
@@ -69,3 +71,19 @@ def test_each_line_is_parsed_once(spark, tmp_path):
     requests = facts(spark, tmp_path, REQUESTS)
     lines = requests.select("workspace_id", F.col("project").alias("line"), F.lit(1).alias("seq"))
     assert plan(parse.usage(parse.parse_lines(lines))).count("parseJson") == 1
+
+
+def test_batch_headers_and_records_meet_without_a_broadcast(spark, tmp_path):
+    """Parsed batches look small to the planner, but both sides have a row per batch."""
+    spark.sql("select id as o_orderkey, id as o_custkey, timestamp '2024-01-01' as o_orderdate from range(40)").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    result = registry.spark_query("src_batches")(spark, str(tmp_path))
+    assert "Broadcast" not in plan(result)
+    assert {(r.batch_id, r.kind, r.n, r.reason) for r in result.collect()} == {
+        (i, kind, n, "account_hash" if i % 20 == 0 else None) for i in range(40) for kind, n in (("usage", 2), ("limit", 1))
+    }
+
+
+def test_each_batch_is_parsed_once(spark):
+    docs = spark.range(3).selectExpr("id as batch_id", "'{}' || id as body")
+    assert plan(batches.batch_headers(docs)).count("parseJson") == 1
