@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import LIMIT_KINDS, MAX_RECORDS_PER_BATCH, REASON_CLASSES, SESSION_EVENT_KINDS, TITLE_SOURCES
@@ -100,11 +101,15 @@ def split_records(records: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 
 def split_batches(records: DataFrame, kind: str, batch: str = "batch_id") -> tuple[DataFrame, DataFrame]:
-    """Strict mode: one bad record quarantines its whole batch."""
-    checked = with_reason(records, kind)
-    bad = checked.filter(F.col("reason").isNotNull()).groupBy(batch).agg(F.min("reason").alias("batch_reason"))
-    valid = checked.filter(F.col("reason").isNull()).drop("reason").join(bad, batch, "left_anti")
-    return valid, checked.drop("reason").join(bad, batch)
+    """Strict mode: one bad record quarantines its whole batch.
+
+    Records meet in their batch, so either side reads them once. Records of no batch stand alone: bad ones are in neither.
+    """
+    worst = F.min("reason").over(W.partitionBy(batch))
+    checked = with_reason(records, kind).withColumn("batch_reason", F.when(F.col(batch).isNotNull(), worst))
+    columns = [batch, *(c for c in records.columns if c != batch)]
+    good = F.col("reason").isNull() & F.col("batch_reason").isNull()
+    return checked.filter(good).select(*columns), checked.filter(F.col("batch_reason").isNotNull()).select(*columns, "batch_reason")
 
 
 def batch_reason(batches: DataFrame) -> DataFrame:

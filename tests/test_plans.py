@@ -4,8 +4,8 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from meterloom.operators import alerts, blocks, live, merge, parse, rollups, sessions
-from meterloom.plans import catalog, registry  # noqa: F401  (the catalog registers the queries)
+from meterloom.operators import alerts, blocks, live, merge, parse, rollups, sessions, validate
+from meterloom.plans import adapters, catalog, registry  # noqa: F401  (the catalog registers the queries)
 from meterloom.schemas import DELIVERIES, REQUESTS
 from meterloom.sources import batches
 
@@ -87,3 +87,35 @@ def test_batch_headers_and_records_meet_without_a_broadcast(spark, tmp_path):
 def test_each_batch_is_parsed_once(spark):
     docs = spark.range(3).selectExpr("id as batch_id", "'{}' || id as body")
     assert plan(batches.batch_headers(docs)).count("parseJson") == 1
+
+
+def test_sessions_are_ranked_in_all_parts_of_a_shuffle(spark, tmp_path):
+    requests = facts(spark, tmp_path, REQUESTS)
+    assert "REPARTITION_BY_NUM" in plan(sessions.session_rollup(requests))
+
+
+def test_strict_batches_read_records_once(spark):
+    given = [("a", "id1"), ("a", ""), ("b", "id2"), ("b", "id2"), (None, "id3"), (None, "")]
+    records = spark.createDataFrame(given, "batch_id string, id string").selectExpr(
+        "id", "batch_id", "'s' as session_id", "timestamp '2024-01-01' as ts", "'c' as code", "'auth' as reason_class")
+    valid, bad = validate.split_batches(records, "error")
+    assert plan(valid).count("Scan ExistingRDD") == plan(bad).count("Scan ExistingRDD") == 1
+    assert sorted(valid.select("batch_id", "id").collect(), key=str) == [("b", "id2"), ("b", "id2"), (None, "id3")]
+    assert sorted((r.batch_id, r.id, r.batch_reason) for r in bad.collect()) == [
+        ("a", "", "id: length"), ("a", "id1", "id: length")]
+    assert valid.columns[0] == "batch_id" and bad.columns[-1] == "batch_reason"
+
+
+def test_rows_of_large_tables_are_dealt_before_they_are_parsed(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    spark.range(0, 70, 1, 7).write.parquet(path)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "100000000")  # every file is a split
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        t = adapters.Tables(spark, str(tmp_path))
+        dealt = t.dealt("events")
+        assert dealt.rdd.getNumPartitions() == 23 and sorted(r.id for r in dealt.collect()) == list(range(70))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
