@@ -23,6 +23,7 @@ def session_rollup(requests: DataFrame) -> DataFrame:
 
     Requests collapse to the combinations of text fields that a session has, which are dealt by session. There, values are
     counted per field and ranked, so no buffer holds the values of a session; its models are the values of one field.
+    The number of parts is given, since parts merged by their size before the fields go apart grow several times after.
     """
     combined = requests.groupBy(*SESSION, "model", *_MODES).agg(
         F.min("ts").alias("started"),
@@ -36,7 +37,8 @@ def session_rollup(requests: DataFrame) -> DataFrame:
         F.sum(F.col("cache_write_5m") + F.col("cache_write_1h")).alias("cache_write"),
     )
     fields = F.explode(F.create_map(*[c for name in ("model", *_MODES) for c in (F.lit(name), F.col(name))]))
-    apart = combined.repartition(*SESSION).select("*", fields.alias("field", "name"))
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = combined.repartition(parts, *SESSION).select("*", fields.alias("field", "name"))
     # Every combination has one row per field; its sums count in the one of the model.
     is_model = F.col("field") == "model"
     counted = apart.groupBy(*SESSION, "field", "name").agg(
