@@ -253,6 +253,14 @@ class Tables:
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
+    def dealt(self, name: str) -> DataFrame:
+        """Rows of a large table in as many parts as a shuffle has, for views whose rows are long to build and parse: splits
+        go by packed bytes, so a split of them would be one very long task. Small tables stay as they are."""
+        splits = self.spark.read.parquet(f"{self.folder}/{name}.parquet").rdd.getNumPartitions()
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        few = self.spark.sparkContext.defaultParallelism // 2 <= splits < parts
+        return self.source(name).repartition(parts) if few else self.source(name)
+
     def view(self, name: str, **given: DataFrame) -> DataFrame:
         """A view over the folder's tables, or over ``given`` ones (a stream, for example)."""
         sql = _fill(VIEWS[name], "spark")

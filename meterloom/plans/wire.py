@@ -34,7 +34,7 @@ def _when(condition: Column, value: Column) -> Column:
 
 def session_lines(t: Tables) -> DataFrame:
     """JSON lines of every kind the parser knows, plus unknown types and broken lines."""
-    facts = t.view("line_facts")
+    facts = t.view("line_facts", events=t.dealt("events"))
     e, k, kind = F.col("event_id"), F.col("k"), F.col("event_type")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     session = F.col("session_id").alias("sessionId")
@@ -159,7 +159,7 @@ def _list(items: list[Column]) -> Column:
 
 def log_payloads(t: Tables) -> DataFrame:
     """Telemetry log payloads: requests (view, click, signup), errors and events that are ignored."""
-    facts = t.view("line_facts")
+    facts = t.view("line_facts", events=t.dealt("events"))
     e, k, kind = F.col("event_id"), F.col("k"), F.col("event_type")
     name = F.when(kind.isin("view", "click", "signup"), "api_request").when(kind == "error", "api_error").otherwise(
         "user_prompt"
@@ -208,7 +208,7 @@ def log_payloads(t: Tables) -> DataFrame:
 
 
 def metric_payloads(t: Tables) -> DataFrame:
-    facts = t.view("line_facts")
+    facts = t.view("line_facts", events=t.dealt("events"))
     e, k = F.col("event_id"), F.col("k")
     metric = _pick(
         e % 5, ["lines_of_code.count", "commit.count", "token.usage", "active_time.total", "code_edit_tool.decision"]
@@ -271,4 +271,4 @@ def upload_batches(t: Tables) -> DataFrame:
         )
     )
     body = F.concat(F.substring(header, F.lit(1), F.length(header) - 1), F.lit(',"records":'), records, F.lit("}"))
-    return t.uploads.select(o.alias("batch_id"), "workspace_id", body.alias("body"))
+    return t.view("uploads", orders=t.dealt("orders")).select(o.alias("batch_id"), "workspace_id", body.alias("body"))
