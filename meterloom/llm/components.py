@@ -8,29 +8,25 @@ from pyspark.sql import functions as F
 from .batches import stored
 
 
-def _print(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h or 0
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and that one has none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links (a, b)`` but the smallest of each component, which is its name.
 
     Large star: a node's larger neighbours move to its smallest one. Small star: a node's smaller neighbours do. Both
-    are a partial minimum and a join, written to the shared folder after each round, until nothing changes. A node with
-    very many links only ever meets one row of minima.
+    are a partial minimum and a join, written to the shared folder after each round, until only stars are left. A node
+    with very many links only ever meets one row of minima.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = _print(edges)
-    while before[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _print(edges)
-        if after == before:
-            break
-        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -9,7 +9,9 @@ and branched. ``ROOTS`` trees leave a link at the threshold unseen with a probab
 ``(1 - 0.75) ** ROOTS`` if its nodes are leaves, and BRANCHES of 2 lose about 6 % of it per further level and tree.
 
 Of a leaf's likely pairs those go first that span it, fewer than it has members, so a group of near copies costs as many
-pairs as it has members. Where one of them proves to be no link, all likely pairs of what is left apart are looked at.
+pairs as it has members. Where one of them proves to be no link, the members that still have a likely partner in another
+component come together once more with their full sets, in blocks of up to ``BLOCK_SHINGLES``: shared shingles are counted
+there, all pairs are decided in place, and only links that span the block leave it.
 
 Found pairs pass three checks: sizes, agreement of the sketches (a link at the threshold fails it once in about 300,000
 cases), and the similarity of the full sets, which alone decides. Links are joined to components after the first pivots
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import binary_column, slices, stored, texts
+from .batches import binary_column, ranges, slices, stored, texts
 from .components import components
 
 WORDS = 5
@@ -45,8 +47,14 @@ NEAREST = 3
 LEVELS = 8
 BINS = 512
 PIECE_BYTES = 2_000_000
-#: Rows of (uid, doc_id, hash) that are broadcast to find their texts; more of them are joined by a shuffle.
+#: Shingles of the sets that are held as one block; a task holds two blocks at a time.
+BLOCK_SHINGLES = 1_000_000
+#: Pairs that are compared at once, without a look at the nearest ones first.
+FEW_PAIRS = 10_000
+#: Rows of (uid, doc_id, hash) that are broadcast to find their texts; more of them are joined by a shuffle, which most
+#: other texts do not enter: 64 bits for each of FILTER_WORDS words tell them apart before.
 BROADCAST_ROWS = 10_000
+FILTER_WORDS = 1 << 18
 _SEED = 0x5EED
 
 
@@ -203,6 +211,75 @@ def _starred(live: DataFrame, reps: DataFrame) -> DataFrame:
     return with_b.where(100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, share double")
 
 
+def _likely_pairs(own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and shares of a node's likely pairs, a strip of BLOCK members against all later ones at a time."""
+    for at in range(0, len(n), BLOCK):
+        strip = [], [], []
+        for other in range(at, len(n), BLOCK):
+            i, j = slice(at, at + BLOCK), slice(other, other + BLOCK)
+            ok = (own[i, None] != own[None, j]) & (100 * np.minimum(n[i, None], n[None, j]) >= 75 * np.maximum(n[i, None], n[None, j]))
+            if at == other:
+                ok = np.triu(ok, 1)
+            x, y = np.nonzero(ok)
+            x, y = x + at, y + other
+            for k in range(0, len(x), 8_000):
+                a, b = x[k : k + 8_000], y[k : k + 8_000]
+                hit, share = likely(sig[a], sig[b], n[a] + n[b])
+                for part, found in zip(strip, (a, b, share), strict=True):
+                    part.append(found[hit])
+        if strip[0] and sum(map(len, strip[0])):
+            yield tuple(np.concatenate(part) for part in strip)
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each node with uid, own, n and sketch of its members, from rows in the order of nodes."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def whole_node() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            node = batch.column("node").to_numpy()
+            columns = [batch.column(c).to_numpy() for c in ("uid", "own", "n")]
+            columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS))
+            edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if held and held[0][0][0] != node[lo]:
+                    yield whole_node()
+                    held = []
+                held.append((node[lo:hi], *(c[lo:hi] for c in columns)))
+    if held:
+        yield whole_node()
+
+
+def _met(live: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members with their sketches, those of a node in one task."""
+    full = live.select("node", "uid", "own").join(reps.select("uid", "n", "sketch"), "uid").repartition("node").sortWithinPartitions("node", "uid")
+    return full.select("node", "uid", "own", "n", "sketch")
+
+
+class _Groups:
+    """Groups that links join to larger ones."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, g: int) -> int:
+        parent = self.parent
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    def join(self, g: int, h: int) -> bool:
+        """Whether they were apart."""
+        g, h = self.root(g), self.root(h)
+        self.parent[g] = h
+        return g != h
+
+
 def _compared(live: DataFrame, reps: DataFrame, spanning: bool) -> DataFrame:
     """Pairs (a, b, share) of different components inside each node, whose sizes and sketches allow the threshold.
 
@@ -210,48 +287,15 @@ def _compared(live: DataFrame, reps: DataFrame, spanning: bool) -> DataFrame:
     ``spanning``, of those the most alike that still join two groups of the node, fewer than it has members; nodes that keep
     other likely pairs back are named in rows of their own (node), to be compared again if these pairs leave them mixed.
     """
-    full = live.select("node", "uid", "own").join(reps.select("uid", "n", "sketch"), "uid").repartition("node").sortWithinPartitions("node", "uid")
-
     names = ["a", "b", "share", "node"]
 
-    def likely_pairs(own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places and shares, a strip of BLOCK members against all later ones at a time."""
-        for at in range(0, len(n), BLOCK):
-            strip = [], [], []
-            for other in range(at, len(n), BLOCK):
-                i, j = slice(at, at + BLOCK), slice(other, other + BLOCK)
-                ok = (own[i, None] != own[None, j]) & (100 * np.minimum(n[i, None], n[None, j]) >= 75 * np.maximum(n[i, None], n[None, j]))
-                if at == other:
-                    ok = np.triu(ok, 1)
-                x, y = np.nonzero(ok)
-                x, y = x + at, y + other
-                for k in range(0, len(x), 8_000):
-                    a, b = x[k : k + 8_000], y[k : k + 8_000]
-                    hit, share = likely(sig[a], sig[b], n[a] + n[b])
-                    for part, found in zip(strip, (a, b, share), strict=True):
-                        part.append(found[hit])
-            if strip[0] and sum(map(len, strip[0])):
-                yield tuple(np.concatenate(part) for part in strip)
-
     def near(node: int, uid: np.ndarray, own: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         nothing = lambda count: pa.nulls(count, pa.int64())
         group, kept_back = np.unique(own, return_inverse=True)[1].tolist(), False
-        parent = list(range(max(group) + 1))
-
-        def root(g: int) -> int:
-            while parent[g] != g:
-                parent[g] = parent[parent[g]]
-                g = parent[g]
-            return g
-
-        for a, b, share in likely_pairs(own, n, sig):
+        groups = _Groups(max(group) + 1)
+        for a, b, share in _likely_pairs(own, n, sig):
             if spanning:
-                chosen = []
-                for k in np.argsort(-share, kind="stable").tolist():
-                    g, h = root(group[a[k]]), root(group[b[k]])
-                    if g != h:
-                        parent[g] = h
-                        chosen.append(k)
+                chosen = [k for k in np.argsort(-share, kind="stable").tolist() if groups.join(group[a[k]], group[b[k]])]
                 kept_back |= len(chosen) < len(a)
                 a, b, share = a[chosen], b[chosen], share[chosen]
             yield pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b]), pa.array(share), nothing(len(a))], names)
@@ -259,33 +303,102 @@ def _compared(live: DataFrame, reps: DataFrame, spanning: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([nothing(1), nothing(1), pa.nulls(1, pa.float64()), pa.array([node])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                node = batch.column("node").to_numpy()
-                columns = [batch.column(c).to_numpy() for c in ("uid", "own", "n")]
-                columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS))
-                edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
-                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                    if held and held[0][0][0] != node[lo]:
-                        yield from near(int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
-                        held = []
-                    held.append((node[lo:hi], *(c[lo:hi] for c in columns)))
-        if held:
-            yield from near(int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
-
-    return full.select("node", "uid", "own", "n", "sketch").mapInArrow(run, "a long, b long, share double, node long")
+        for found in _nodes(batches):
+            yield from near(*found)
+
+    return _met(live, reps).mapInArrow(run, "a long, b long, share double, node long")
+
+
+def _undecided(live: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of nodes that have a likely partner of another component there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, uid, own, n, sig in _nodes(batches):
+            some = np.zeros(len(uid), bool)
+            for a, b, _ in _likely_pairs(own, n, sig):
+                some[a] = some[b] = True
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), node)), *(pa.array(c[some]) for c in (uid, own, n))], ["node", "uid", "own", "n"])
+
+    return _met(live, reps).mapInArrow(run, "node long, uid long, own long, n long")
+
+
+def spanning_links(own: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links that join all groups (``own``) which any link joins, fewer than there are sets.
+
+    Decides on the full sets, by counts of shared shingles from an index of the sets that hold each. With two blocks, only
+    pairs of both are looked at. Sets of the largest group meet only others, so the work is that of the pairs apart.
+    """
+    n = np.array([len(s) for s in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]
+    held = np.bincount(token)
+    first, start = np.cumsum(held) - held, np.cumsum(n) - n
+    group, sizes = np.unique(own, return_inverse=True, return_counts=True)[1:]
+    largest = group == sizes.argmax()
+    groups, links, one_block = _Groups(len(sizes)), [], block.min() == block.max()
+    seen = np.zeros(len(sets), bool)
+    for i in np.flatnonzero(~largest).tolist():
+        seen[i] = True
+        own_tokens = token[start[i] : start[i] + n[i]]
+        shared = np.bincount(holders[ranges(first[own_tokens], held[own_tokens])], minlength=len(sets))
+        hit = (100 * shared >= 75 * (n[i] + n - shared)) & (group != group[i]) & ~seen
+        if not one_block:
+            hit &= block != block[i]
+        places = np.flatnonzero(hit)
+        for j in places[np.unique(group[places], return_index=True)[1]].tolist():
+            if groups.join(group[i], group[j]):
+                links.append((i, j))
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return at[:, 0], at[:, 1]
+
+
+def _decided(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) that span the members ``rows (node, uid, own, n)`` of each node. ``found`` has uid and text of all."""
+    blocks = rows.groupBy("node").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "own", "block")
+    full = each.join(found, "uid").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "uid")
+
+    def links(members: list[tuple[int, int, int, np.ndarray]]) -> pa.RecordBatch:
+        uid, own, block = (np.array(c, np.int64) for c in list(zip(*members, strict=True))[:3])
+        a, b = spanning_links(own, block, [m[3] for m in members])
+        return pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, members = None, []
+        for part in slices(batches, "text"):
+            for node, lo, hi, uid, own, block, text in zip(*(part.column(c).to_pylist() for c in ("node", "lo", "hi", "uid", "own", "block", "text")), strict=True):
+                if members and last != (node, lo, hi):
+                    yield links(members)
+                    members = []
+                last = node, lo, hi
+                members.append((uid, own, block, shingles(text)))
+        if members:
+            yield links(members)
+
+    return full.select("node", "lo", "hi", "uid", "own", "block", "text").mapInArrow(run, "a long, b long")
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """uid and text of ``wanted (uid, doc_id, text_hash)``."""
+    source = docs.select(F.col("doc_id").cast("long").alias("source_id"), F.xxhash64("text").alias("text_hash"), "text")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    source = docs.select(F.col("doc_id").cast("long").alias("source_id"), F.xxhash64("text").alias("text_hash"), "text")
+    else:
+        source = _filtered(source, wanted, "text_hash")
     return source.join(wanted, (source["text_hash"] == wanted["text_hash"]) & source["source_id"].eqNullSafe(wanted["doc_id"])).select("uid", "text").dropDuplicates(["uid"])
 
 
+def _filtered(source: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of ``source`` but most of those whose ``column`` is not among ``wanted``'s. The bits that tell have a fixed size."""
+    word, bit = F.pmod(F.shiftright(F.xxhash64(column), 6), F.lit(FILTER_WORDS)), F.pmod(F.xxhash64(column), F.lit(64)).cast("int")
+    bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = source.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return marked.where(F.call_function("shiftright", "_bits", bit).bitwiseAND(F.lit(1)) == 1).select(source.columns)
+
+
 def _confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs whose full sets reach the threshold. ``found`` has uid and text of both."""
     full = pairs.join(found.select(F.col("uid").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("uid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -333,29 +446,36 @@ def _walked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     walk = _Walk(docs, reps)
     # The first pivots settle groups of copies, so that the leaves need not compare them.
     walk.confirm(_starred(_mixed(members, None), reps))
-    open_nodes = None
+    open_nodes = []
     for level in range(LEVELS + 1):
         live = stored(_mixed(members, walk.labels), "live")
         if live.isEmpty():
             break
         small, large = live.where("small"), live.where("not small")
         leaves = small if level < LEVELS else live
-        compared = stored(_compared(leaves, reps, True), "compared")
-        pairs = compared.where("a is not null").drop("node").unionByName(_starred(large, reps))
-        walk.confirm((pairs if open_nodes is None else pairs.unionByName(_left_apart(open_nodes, walk, reps))).distinct())
-        # Nodes that kept pairs back are looked at again with the next level's, if the chosen pairs have not joined them.
-        open_nodes = leaves.select("node", "uid").join(compared.where("node is not null").select("node"), "node", "left_semi")
+        # Fewer sets take part in what follows the first level's leaves; the sketches of the others stay out of its shuffles.
+        compared = stored(_compared(leaves, _filtered(reps, live, "uid") if level else reps, True), "compared")
+        walk.confirm(compared.where("a is not null").drop("node").unionByName(_starred(large, _filtered(reps, large, "uid"))).distinct())
+        # Nodes that kept pairs back are looked at again after all levels, if nothing has joined them by then.
+        open_nodes.append(leaves.select("node", "uid").join(compared.where("node is not null").select("node"), "node", "left_semi"))
         # Large nodes that still hold several components go one level down.
         large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
         members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
-    if open_nodes is not None:
-        walk.confirm(_left_apart(open_nodes, walk, reps).distinct())
+    if open_nodes:
+        _left_apart(functools.reduce(DataFrame.unionByName, open_nodes), walk)
     return sets, firsts, walk.labels
 
 
-def _left_apart(nodes: DataFrame, walk: _Walk, reps: DataFrame) -> DataFrame:
-    """All likely pairs of what is still apart in nodes whose spanning pairs have been confirmed or refused."""
-    return _compared(_mixed(nodes, walk.labels), reps, False).drop("node")
+def _left_apart(nodes: DataFrame, walk: _Walk) -> None:
+    """Decide all pairs of what is still apart in nodes whose spanning pairs have been confirmed or refused."""
+    live = stored(_mixed(nodes, walk.labels), "apart")
+    if live.isEmpty():
+        return
+    rows = stored(_undecided(live, _filtered(walk.reps, live, "uid")), "undecided")
+    if rows.isEmpty():
+        return
+    walk.fetch(rows.select("uid").distinct())
+    walk.join(stored(_decided(rows, walk.found), "links"))
 
 
 class _Walk:
@@ -374,6 +494,9 @@ class _Walk:
             self.labels = self.labels if self.labels is not None else components(pairs)
             return
         self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        if pairs.count() <= FEW_PAIRS:
+            self._link(pairs.select("a", "b"))
+            return
         # The nearest partners of each set come first; most other pairs are then of one component and need no look.
         best = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("share"), o)) <= NEAREST for c, o in (("a", "b"), ("b", "a"))]
         ranked = pairs.select("a", "b", best[0].alias("near_a"), best[1].alias("near_b"))
@@ -388,14 +511,24 @@ class _Walk:
             self._link(rest)
 
     def _link(self, pairs: DataFrame) -> None:
-        wanted = pairs.select(F.col("a").alias("uid")).distinct().union(pairs.select("b").distinct()).distinct()
+        self.fetch(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
+        self.join(stored(_confirmed(pairs, self.found), "links"))
+
+    def fetch(self, wanted: DataFrame) -> None:
+        """Read the texts of ``wanted (uid)`` that are not there yet."""
         if self.found is not None:
             wanted = wanted.join(self.found.select("uid"), "uid", "left_anti")
         wanted = stored(self.reps.select("uid", "doc_id", "text_hash").join(wanted, "uid"), "wanted")
+        if self.found is not None and wanted.isEmpty():
+            return
         more = stored(_texts(wanted, self.docs), "texts")
         self.found = more if self.found is None else self.found.unionByName(more)
-        links = _confirmed(pairs, self.found)
+
+    def join(self, links: DataFrame) -> None:
+        """Join the components of new links."""
         if self.labels is not None:
+            if links.isEmpty():
+                return
             links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         self.labels = components(links)
 

@@ -118,3 +118,65 @@ def test_pairs_kept_back_are_not_lost(spark):
                 parent[max(a, b)] = min(a, b)
     got = {r.doc_id: r.component_id for r in minhash.clusters(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) > 1
+
+
+def test_pairs_that_stay_apart_are_decided_in_place(spark, monkeypatch):
+    """Sets of which all look likely and few are links: only links that span a node leave it, also from blocks of few sets."""
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for at in draw.sample(range(300), draw.randrange(3, 10)):
+            words[at] = f"x{i}y{at}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sets = minhash.prepared(docs).cache()
+    hashes = [minhash.shingles(t) for _, t in texts]
+    uids = [r.uid for r in sets.orderBy("doc_id").collect()]
+
+    def joined(links):
+        parent = {u: u for u in uids}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return {u: root(u) for u in uids}
+
+    every = {frozenset((uids[i], uids[j])) for i in range(90) for j in range(i) for both in [len(set(hashes[i]) & set(hashes[j]))] if 100 * both >= 75 * (len(hashes[i]) + len(hashes[j]) - both)}
+    want = joined(every)
+    assert len(set(want.values())) > 1 and len(every) > 90
+    live = sets.selectExpr("1L as node", "uid", "uid as own")
+    found = sets.select("uid", "doc_id").join(docs, "doc_id").select("uid", "text")
+    rows = minhash._undecided(live, sets)
+    assert rows.count() <= 90 < minhash._compared(live, sets, False).count()
+    for shingles in (minhash.BLOCK_SHINGLES, 4000):
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        got = [(r.a, r.b) for r in minhash._decided(rows, found).collect()]
+        assert {frozenset(link) for link in got} <= every and joined(got) == want
+        blocks = -(-rows.agg({"n": "sum"}).first()[0] // shingles)
+        assert len(got) < 90 * blocks
+
+
+def test_texts_are_found_behind_the_filter(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text").unionByName(spark.createDataFrame([(None, "text none")], "doc_id long, text string"))
+    wanted = docs.where("doc_id is null or doc_id % 50 = 0").selectExpr("coalesce(doc_id, -1) as uid", "doc_id", "xxhash64(text) as text_hash")
+    source = docs.selectExpr("xxhash64(text) as text_hash", "text")
+    assert 61 <= minhash._filtered(source, wanted, "text_hash").count() < 200
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 10)
+    got = {r.uid: r.text for r in minhash._texts(wanted, docs).collect()}
+    assert got == {i: f"text {i}" for i in range(0, 3000, 50)} | {-1: "text none"}
+
+
+def test_states_are_gathered_by_length_as_arrow(spark):
+    docs = spark.createDataFrame([(i, f"some words here {i % 7} and there {i % 3}") for i in range(200)], "doc_id long, text string")
+    parts = list(suffixtree.gathered(suffixtree.parted(suffixtree.retained(suffixtree.levels(suffixtree.counted(docs)), 5000), 10**6)[0]))
+    assert len(parts) == suffixtree.DEPTH + 1 and len(parts[0][0]) and all(len({len(c) for c in level}) == 1 for level in parts)
+    assert all((level[0] < 1 << 8 * (k + 1)).all() for k, level in enumerate(parts))
+    tree = suffixtree.Tree(parts)
+    assert [len(k) for k in tree.keys] == [len(level[0]) for level in parts[1:]]
