@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,23 +178,25 @@ class Tree:
 
     rest: DataFrame | None = None
 
-    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray, followers: np.ndarray, more: np.ndarray):
+    def __init__(self, levels: Iterable[tuple[np.ndarray, ...]]):
+        """``levels`` gives key, n, total, followers and more of the rows of each context length, from 0 on; one is held at a time."""
         self.root = np.full(256, 1 / 256)
-        self.more: list[np.ndarray] = [more[k == 0][:1] if (k == 0).any() else np.zeros(1, bool)]
+        self.more: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         self.states: list[np.ndarray] = []
         self.back: list[np.ndarray] = []
-        of_root = k == 0
-        if of_root.any():
-            c, f = float(total[of_root][0]), float(followers[of_root][0])
-            self.root *= f / (c + f)
-            self.root[key[of_root]] += n[of_root] / (c + f)
         above_keys, above = np.arange(256, dtype=np.int64), self.root
-        for depth in range(1, DEPTH + 1):
-            at = np.flatnonzero(k == depth)
-            at = at[np.argsort(key[at], kind="stable")]
-            own, c, f = key[at], total[at].astype(float), followers[at].astype(float)
+        for depth, (own, n, total, followers, more) in enumerate(levels):
+            if not depth:
+                self.more.append(more[:1] if len(more) else np.zeros(1, bool))
+                if len(own):
+                    c, f = float(total[0]), float(followers[0])
+                    self.root *= f / (c + f)
+                    self.root[own] += n / (c + f)
+                continue
+            at = np.argsort(own, kind="stable")
+            own, c, f = own[at], total[at].astype(float), followers[at].astype(float)
             p = (n[at] + f * above[np.searchsorted(above_keys, own & ((1 << 8 * depth) - 1))]) / (c + f)
             context, first = np.unique(own >> 8, return_index=True)
             self.keys.append(own)
@@ -242,12 +244,19 @@ def train(docs: DataFrame, transitions: int = TRANSITIONS) -> tuple[DataFrame, T
     tokens, different = by_kind.get(0, (0, 0))
     level = stored(levels(counts), "levels")
     top, rest = parted(retained(level, by_kind.get(1, (0, 0))[0]), transitions)
-    rows = top.toPandas()  # at most `transitions` rows and the root's
-    tree = Tree(*(rows[c].to_numpy(np.int64) for c in ("k", "key", "n", "total", "followers")), rows["more"].to_numpy(bool))
+    tree = Tree(gathered(stored(top, "near")))
     tree.rest = rest
     return words, tree, tokens, different
 
 
+def gathered(top: DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of each context length, as Arrow: rows of Python objects would take ten times the memory. There are at most
+    ``transitions`` rows and the root's."""
+    for depth in range(DEPTH + 1):
+        rows = top.where(F.col("k") == depth).select("key", "n", "total", F.col("followers").cast("int"), "more").toArrow()
+        yield tuple(rows.column(c).to_numpy() for c in ("key", "n", "total", "followers", "more"))
+
+
 def score(docs: DataFrame, trained: tuple[DataFrame, Tree, int, int], frequent: int = FREQUENT) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, base_score (unigram with 0.5 added), score (log10 probability in the tree)."""
     words, tree, tokens, different = trained
