@@ -6,11 +6,14 @@ but the last return the columns of ``docs``. The result has one row per packed p
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.llm import minhash, packing, pii, rules, toxicity
-from meterloom.llm.batches import stored
+from meterloom.llm.batches import BATCH_BYTES, BATCH_CONF, stored
 from meterloom.llm.catalog import TOKENIZER
 
 # Models cannot be written in SQL; the stages are tested against brute force instead.
@@ -49,7 +52,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("quality rules", quality), ("toxicity", clean), ("near-duplicates", distinct), ("personal data", private), ("packing", packed)]
+def bounded(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with rows handed to Python in small batches. Its rows are computed after it returns, so the session keeps
+    that setting."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [("quality rules", bounded(quality)), ("toxicity", bounded(clean)), ("near-duplicates", bounded(distinct)), ("personal data", bounded(private)), ("packing", bounded(packed))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task works on at a time.
 SLICE_CHARS = 2_000_000
+#: Bytes of a batch between the JVM and Python. An executor's C heap keeps the largest buffers of each of its threads after
+#: they are freed, so 10,000 long rows at once cost memory long after their task.
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -66,6 +71,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand rows to Python in batches of up to ``BATCH_BYTES``; the caller's setting comes back afterwards."""
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_CONF) if before is None else spark.conf.set(BATCH_CONF, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage, and a lost executor loses nothing."""
     folder = shared_folder(df.sparkSession, name)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import binary_column, ranges, slices, stored, texts
+from .batches import binary_column, ranges, slices, small_batches, stored, texts
 from .components import components
 
 WORDS = 5
@@ -330,10 +330,18 @@ def spanning_links(own: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -
     pairs of both are looked at. Sets of the largest group meet only others, so the work is that of the pairs apart.
     """
     n = np.array([len(s) for s in sets])
-    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    holders = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]
-    held = np.bincount(token)
-    first, start = np.cumsum(held) - held, np.cumsum(n) - n
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable").astype(np.int32)
+    hashes = hashes[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    del hashes
+    first = np.flatnonzero(new)
+    held = np.diff(first, append=len(new))
+    token = np.empty(len(new), np.int32)
+    token[order] = np.cumsum(new, dtype=np.int32) - 1
+    holders = np.repeat(np.arange(len(sets), dtype=np.int32), n)[order]
+    start = np.cumsum(n) - n
+    del order, new
     group, sizes = np.unique(own, return_inverse=True, return_counts=True)[1:]
     largest = group == sizes.argmax()
     groups, links, one_block = _Groups(len(sizes)), [], block.min() == block.max()
@@ -438,32 +446,33 @@ def survivors(docs: DataFrame) -> DataFrame:
 
 def _walked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All sets, the first row of each different one, and the components of those that have links."""
-    sets = stored(prepared(docs), "sets")
-    firsts = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"))
-    reps = stored(sets.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash", "n", "sig", "sketch"), "reps")
-    roots = F.explode(F.transform(F.slice("sig", 1, ROOTS), lambda v, i: F.xxhash64(F.lit("root"), i, v)))
-    members = reps.select(roots.alias("node"), "uid")
-    walk = _Walk(docs, reps)
-    # The first pivots settle groups of copies, so that the leaves need not compare them.
-    walk.confirm(_starred(_mixed(members, None), reps))
-    open_nodes = []
-    for level in range(LEVELS + 1):
-        live = stored(_mixed(members, walk.labels), "live")
-        if live.isEmpty():
-            break
-        small, large = live.where("small"), live.where("not small")
-        leaves = small if level < LEVELS else live
-        # Fewer sets take part in what follows the first level's leaves; the sketches of the others stay out of its shuffles.
-        compared = stored(_compared(leaves, _filtered(reps, live, "uid") if level else reps, True), "compared")
-        walk.confirm(compared.where("a is not null").drop("node").unionByName(_starred(large, _filtered(reps, large, "uid"))).distinct())
-        # Nodes that kept pairs back are looked at again after all levels, if nothing has joined them by then.
-        open_nodes.append(leaves.select("node", "uid").join(compared.where("node is not null").select("node"), "node", "left_semi"))
-        # Large nodes that still hold several components go one level down.
-        large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
-        members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
-    if open_nodes:
-        _left_apart(functools.reduce(DataFrame.unionByName, open_nodes), walk)
-    return sets, firsts, walk.labels
+    with small_batches(docs.sparkSession):
+        sets = stored(prepared(docs), "sets")
+        firsts = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("uid").alias("uid"))
+        reps = stored(sets.join(firsts.select("uid"), "uid", "left_semi").select("uid", "doc_id", "text_hash", "n", "sig", "sketch"), "reps")
+        roots = F.explode(F.transform(F.slice("sig", 1, ROOTS), lambda v, i: F.xxhash64(F.lit("root"), i, v)))
+        members = reps.select(roots.alias("node"), "uid")
+        walk = _Walk(docs, reps)
+        # The first pivots settle groups of copies, so that the leaves need not compare them.
+        walk.confirm(_starred(_mixed(members, None), reps))
+        open_nodes = []
+        for level in range(LEVELS + 1):
+            live = stored(_mixed(members, walk.labels), "live")
+            if live.isEmpty():
+                break
+            small, large = live.where("small"), live.where("not small")
+            leaves = small if level < LEVELS else live
+            # Fewer sets take part in what follows the first level's leaves; the sketches of the others stay out of its shuffles.
+            compared = stored(_compared(leaves, _filtered(reps, live, "uid") if level else reps, True), "compared")
+            walk.confirm(compared.where("a is not null").drop("node").unionByName(_starred(large, _filtered(reps, large, "uid"))).distinct())
+            # Nodes that kept pairs back are looked at again after all levels, if nothing has joined them by then.
+            open_nodes.append(leaves.select("node", "uid").join(compared.where("node is not null").select("node"), "node", "left_semi"))
+            # Large nodes that still hold several components go one level down.
+            large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
+            members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
+        if open_nodes:
+            _left_apart(functools.reduce(DataFrame.unionByName, open_nodes), walk)
+        return sets, firsts, walk.labels
 
 
 def _left_apart(nodes: DataFrame, walk: _Walk) -> None:

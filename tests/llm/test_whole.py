@@ -1,10 +1,13 @@
 """Cases in which the operators once did less than the whole job."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from meterloom.llm import licenses, minhash, pii, suffixtree, winnow
+from meterloom.llm import batches, licenses, minhash, pii, suffixtree, winnow
 
 NOTICES = {
     "permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
@@ -180,3 +183,62 @@ def test_states_are_gathered_by_length_as_arrow(spark):
     assert all((level[0] < 1 << 8 * (k + 1)).all() for k, level in enumerate(parts))
     tree = suffixtree.Tree(parts)
     assert [len(k) for k in tree.keys] == [len(level[0]) for level in parts[1:]]
+
+
+def test_rows_reach_python_in_small_batches(spark, monkeypatch):
+    """10,000 long rows in one batch stay in the memory of an executor; batches are cut by bytes, and the setting comes back."""
+    docs = spark.range(0, 20_000, 1, 1).selectExpr("id as doc_id", "concat(id, repeat('x', 1000)) as text")
+    seen = []
+
+    def run(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])], ["rows"])
+
+    def prepared(given):
+        seen.extend(r.rows for r in given.select("text").mapInArrow(run, "rows long").collect())
+        return whole(given)
+
+    whole = minhash.prepared
+    monkeypatch.setattr(minhash, "prepared", prepared)
+    before = spark.conf.get(batches.BATCH_CONF)
+    assert minhash.clusters(docs).where("n_shingles = 1 and kept").count() == 20_000
+    assert sum(seen) == 20_000 and max(seen) * 1000 <= batches.BATCH_BYTES
+    assert spark.conf.get(batches.BATCH_CONF) == before
+
+
+def test_stages_of_the_pipeline_take_small_batches(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    before = spark.conf.get(batches.BATCH_CONF)
+    try:
+        for _, stage in corpus_pipeline.STAGES[2:4]:
+            spark.conf.set(batches.BATCH_CONF, before)
+            assert stage(spark, docs, "").count() == 1 and int(spark.conf.get(batches.BATCH_CONF)) == batches.BATCH_BYTES
+    finally:
+        spark.conf.set(batches.BATCH_CONF, before)
+
+
+def test_index_of_a_block_is_small():
+    """A task holds two blocks; their index takes a few times the room of the shingles, and gives the links of all pairs."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 63, 400, np.int64).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: draw.integers(280, 400)], draw.integers(0, 1 << 63, 30, np.int64).astype(np.uint64)])) for _ in range(60)]
+    a, b = minhash.spanning_links(np.arange(60), np.arange(60) % 2, sets)
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (i + j) % 2 and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    got = list(range(60))
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        got = [got[j] if r == got[i] else r for r in got]
+    same = lambda of: {frozenset(k for k in range(60) if of[k] == r) for r in of}
+    assert same(got) == same(root) and len(same(root)) < 60
+    many = [np.unique(draw.integers(0, 1 << 63, 1000, np.int64).astype(np.uint64)) for _ in range(500)]
+    tracemalloc.start()
+    minhash.spanning_links(np.arange(500), np.zeros(500, np.int64), many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(s.nbytes for s in many)
