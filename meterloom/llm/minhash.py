@@ -461,12 +461,18 @@ def _walked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             if live.isEmpty():
                 break
             small, large = live.where("small"), live.where("not small")
+            branching = not large.isEmpty()
             leaves = small if level < LEVELS else live
             # Fewer sets take part in what follows the first level's leaves; the sketches of the others stay out of its shuffles.
             compared = stored(_compared(leaves, _filtered(reps, live, "uid") if level else reps, True), "compared")
-            walk.confirm(compared.where("a is not null").drop("node").unionByName(_starred(large, _filtered(reps, large, "uid"))).distinct())
+            pairs = compared.where("a is not null").drop("node")
+            if branching:
+                pairs = pairs.unionByName(_starred(large, _filtered(reps, large, "uid")))
+            walk.confirm(pairs.distinct())
             # Nodes that kept pairs back are looked at again after all levels, if nothing has joined them by then.
             open_nodes.append(leaves.select("node", "uid").join(compared.where("node is not null").select("node"), "node", "left_semi"))
+            if not branching:
+                break
             # Large nodes that still hold several components go one level down.
             large = _mixed(large.select("node", "uid"), walk.labels).select("node", "uid")
             members = stored(large.join(reps.select("uid", "sig"), "uid").select("uid", F.explode(_branches()).alias("node")).distinct(), "members")
